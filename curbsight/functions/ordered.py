@@ -67,8 +67,8 @@ def running_totals(df: DataFrame, by: str, sums: list[str], buckets: int = 128)
     """
     cuts = df.agg(F.percentile_approx(
         by, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
-    bounds = cuts.scalar()
-    split = df.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col(by))))
+    split = df.withColumn("_cuts", cuts.scalar()).withColumn(
+        "bucket", F.size(F.filter("_cuts", lambda b: b < F.col(by)))).drop("_cuts")
     totals = split.groupBy("bucket").agg(*[F.sum(c).alias(f"in_{c}") for c in sums])
     above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("bucket", *[

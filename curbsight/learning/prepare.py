@@ -134,6 +134,8 @@ class ImportanceSelector(Estimator):
     def __init__(self, *, kind="classification", topK=S.TOP_FEATURES,
                  numTrees=S.SELECTOR_TREES, maxDepth=8):
         super().__init__()
+        self._setDefault(kind="classification", topK=S.TOP_FEATURES,
+                         numTrees=S.SELECTOR_TREES, maxDepth=8)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> VectorSlicer:

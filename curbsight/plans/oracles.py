@@ -136,7 +136,8 @@ part("clean", f"""SELECT * REPLACE (coalesce(zone, 'unknown') AS zone, coalesce(
 # -- features ------------------------------------------------------------------------
 part("loads", """SELECT corridor, count(id) AS corridor_event_load FROM clean GROUP BY corridor""", "clean")
 part("durations", """SELECT coalesce(quantile_cont(resolution_hours, 0.95), 1.0) AS cap,
- coalesce(least(greatest(median(resolution_hours), 0), 1), 0.3) AS fill FROM clean""", "clean")
+ CASE WHEN count(resolution_hours) = 0 THEN 0.3
+ ELSE least(greatest(median(resolution_hours), 0), 1) END AS fill FROM clean""", "clean")
 part("local", """SELECT *, start_datetime + INTERVAL 330 MINUTE AS lt FROM clean""", "clean")
 CELL = (f"coalesce({even('latitude', 3)}::VARCHAR, 'nan') || '_' || coalesce({even('longitude', 3)}::VARCHAR, 'nan')")
 part("rowed", f"""SELECT * EXCLUDE (lt), CAST(hour(lt) AS INTEGER) AS hour, CAST(isodow(lt) - 1 AS INTEGER) AS dayofweek,
@@ -150,8 +151,8 @@ part("rowed", f"""SELECT * EXCLUDE (lt), CAST(hour(lt) AS INTEGER) AS hour, CAST
  {CELL} AS geo_cell,
  {_case('event_cause', S.CAUSE_SEVERITY, S.CAUSE_SEVERITY_DEFAULT)} AS cause_severity,
  {_case('veh_type', S.VEH_MASS, S.VEH_MASS_DEFAULT)} AS veh_mass,
- coalesce(least(greatest(resolution_hours / nullif((SELECT cap FROM durations), 0), 0), 1),
-  (SELECT fill FROM durations)) AS duration_norm
+ CASE WHEN resolution_hours IS NULL OR (SELECT cap FROM durations) = 0 THEN (SELECT fill FROM durations)
+  ELSE least(greatest(resolution_hours / (SELECT cap FROM durations), 0), 1) END AS duration_norm
  FROM local""", "local", "durations")
 RISK = ("cause_severity * 0.40::DOUBLE + CAST(requires_road_closure AS DOUBLE) * 0.20::DOUBLE"
         " + CAST(coalesce(lower(priority) = 'high', false) AS DOUBLE) * 0.15::DOUBLE"
@@ -494,7 +495,7 @@ def statements() -> dict[str, str]:
     # sources and quality
     q["na_tokens"] = chain(_na_tokens(), "raw")
     q["bad_lines"] = chain(
-        "SELECT 'incidents' AS _file, count(*) FILTER (ordinal % 50 = 0 AND ordinal % 30 <> 0) AS skipped,"
+        "SELECT 'incidents' AS _file, count(*) FILTER (ordinal % 50 = 0) AS skipped,"
         " count(*) AS read FROM raw", "raw")
     q["scan_features"] = chain("SELECT id, start_datetime, date, risk_score FROM feats", "feats")
     q["dq_checks"] = chain("SELECT name, severity, message FROM checks", "checks")
