@@ -23,6 +23,8 @@ from curbsight.streaming import incidents as ST
 
 _jobs: dict[tuple[str, str], IncidentJob] = {}
 _runs: dict[tuple[str, str], dict] = {}
+# The queries train smaller forests than the job's fast mode (settings.FAST_FOREST).
+QUERY_FOREST = {"numTrees": 40, "maxDepth": 10}
 SEARCHED_FOREST = {"numTrees": 20, "maxDepth": 6}
 COMPARED_FAMILIES = {"random_forest": SEARCHED_FOREST, "boosting": {"maxIter": 8, "maxDepth": 4}}
 GBT_OPTIONS = {"maxIter": 40, "stepSize": 0.1}
@@ -56,7 +58,8 @@ def fast_runs(spark, sf, task_names=tuple(S.TASKS)) -> dict[str, dict]:
     runs = _runs.setdefault((spark.sparkContext.applicationId, sf), {})
     for task in task_names:
         if task not in runs:
-            runs[task] = train.train_task(features_of(spark, sf), task, tune_threshold=False)
+            runs[task] = train.train_task(features_of(spark, sf), task, forest=QUERY_FOREST,
+                                          tune_threshold=False)
     return {t: runs[t] for t in task_names}
 
 
