@@ -27,6 +27,8 @@ from curbsight.operators.components import components
 # Level 6 cells are some 4 cm wide; below them come the points themselves.
 DEPTH = 6
 BOX = ["y0", "y1", "x0", "x1"]
+# Pairs of cells with so few distances are listed instead of being split further.
+SMALL_PAIR = 512
 
 
 def density_grid(eps: float = S.EPS_METERS) -> Grid:
@@ -127,6 +129,29 @@ def _resolve(pairs: DataFrame, sub: DataFrame, grid: Grid, limit: float) -> Data
     return out
 
 
+def _list_pairs(pairs: DataFrame, points: DataFrame, limit: float) -> DataFrame:
+    """(a, b, need, hits) from the points themselves, at most SMALL_PAIR distances per pair."""
+    place = points.select(
+        "layer", F.col("cy").alias("c_y"), F.col("cx").alias("c_x"), F.col("lat").alias("lat_"),
+        F.col("lon").alias("lon_"), F.col("w").alias("w_"))
+
+    def listing(df: DataFrame, side: str) -> DataFrame:
+        named = place.select("layer", *[
+            F.col(c).alias(f"{side}{c}") for c in ("c_y", "c_x", "lat_", "lon_", "w_")])
+        return df.withColumns({
+            f"{side}c_y": F.col(f"{side}.cy"), f"{side}c_x": F.col(f"{side}.cx")}).join(
+            named, ["layer", f"{side}c_y", f"{side}c_x"])
+
+    alone = pairs.filter(F.col("p.n") == 1).withColumns(
+        {"plat_": F.col("p.lat"), "plon_": F.col("p.lon")})
+    several = listing(pairs.filter(F.col("p.n") > 1), "p")
+    columns = ["layer", "a", "b", "need", "plat_", "plon_", "q"]
+    rows = listing(alone.select(*columns).unionByName(several.select(*columns)), "q")
+    inside = C.haversine_term(
+        F.col("plat_"), F.col("plon_"), F.col("qlat_"), F.col("qlon_")) <= limit
+    return rows.filter(inside).groupBy("layer", "a", "b", "need").agg(F.sum("qw_").alias("hits"))
+
+
 def _summary_struct() -> Column:
     return F.struct(
         "level", "cy", "cx", "n", "w", *BOX,
@@ -217,37 +242,56 @@ def density_clusters(df: DataFrame, layers: Column, eps: float = S.EPS_METERS,
     thin = cells.filter(F.col("w") < min_samples).select(*cell)
     sparse = cut(points.join(thin, cell, "left_semi"))
 
-    # Neighbours among the points of sparse cells: at most min_samples - 1 per cell.
+    # Neighbours among the points of sparse cells: at most min_samples - 1 per cell. Each pair
+    # is found once, from its own cell or from the cell that comes first.
     there = sparse.select("layer", F.col("cy").alias("ny"), F.col("cx").alias("nx"),
                           F.col("ord").alias("b"), F.col("w").alias("bw"),
                           F.col("lat").alias("blat"), F.col("lon").alias("blon"))
+    forward = (F.col("dy") > 0) | ((F.col("dy") == 0) & (F.col("dx") > 0))
+    same = (F.col("dy") == 0) & (F.col("dx") == 0)
     close = cut(
-        _around(sparse, span).join(there, ["layer", "ny", "nx"])
+        _around(sparse, span).filter(forward | same).join(there, ["layer", "ny", "nx"])
+        .filter(forward | (F.col("ord") < F.col("b")))
         .filter(C.haversine_term(F.col("lat"), F.col("lon"), F.col("blat"), F.col("blon")) <= limit)
-        .select("layer", F.col("ord").alias("a"), "b", "bw"))
-
-    # Questions to crowded cells: from sparse points, and between crowded cells.
-    target = dense.select("layer", F.col("cy").alias("ny"), F.col("cx").alias("nx"),
-                          F.col("rep.ord").alias("b"), _summary_struct().alias("q"))
-    from_points = _around(sparse, span).join(target, ["layer", "ny", "nx"]).select(
-        "layer", F.col("ord").alias("a"), "b", F.lit(solo).cast("long").alias("need"),
-        _point_struct(0).alias("p"), "q")
+        .select("layer", F.col("ord").alias("a"), F.col("w").alias("aw"), "b", "bw"))
+    itself = sparse.select("layer", F.col("ord").alias("a"), F.col("ord").alias("b"),
+                           F.col("w").alias("bw"))
+    backward = close.select("layer", F.col("b").alias("a"), F.col("a").alias("b"),
+                            F.col("aw").alias("bw"))
+    near = close.drop("aw").unionByName(backward).unionByName(itself)
+
+    # Questions to crowded cells: from sparse points, and between crowded cells. The cells
+    # are the smaller side, so they are the ones repeated for their neighbours.
+    target = dense.select(*cell, F.col("rep.ord").alias("b"), _summary_struct().alias("q"))
+    from_points = sparse.select(
+        "layer", F.col("cy").alias("ny"), F.col("cx").alias("nx"), F.col("ord").alias("a"),
+        _point_struct(0).alias("p"),
+    ).join(_around(target, span), ["layer", "ny", "nx"]).select(
+        "layer", "a", "b", F.lit(solo).cast("long").alias("need"), "p", "q")
+    target = target.withColumnsRenamed({"cy": "ny", "cx": "nx"})
     source = dense.select(*cell, F.col("rep.ord").alias("a"), _summary_struct().alias("p"))
-    forward = (F.col("dy") > 0) | ((F.col("dy") == 0) & (F.col("dx") > 0))
     from_cells = _around(source, span).filter(forward).join(
         target, ["layer", "ny", "nx"]).select(
         "layer", "a", "b", F.lit(1).cast("long").alias("need"), "p", "q")
-    pairs = cut(from_points.unionByName(from_cells).filter(
-        box_low(_side("p"), _side("q")) <= limit))
-    # Finer summaries only for cells whose whole boxes leave a question open.
-    undecided = _judge(pairs, limit).filter(F.col("open") & (F.col("sure") < F.col("need")))
-    involved = undecided.select("layer", "q.cy", "q.cx").union(
-        undecided.filter("p.n > 1").select("layer", "p.cy", "p.cx")).distinct()
-    sub = cut(_sub_summaries(points.join(involved, cell, "left_semi").drop("cy", "cx"), grid))
-    hits = cut(_resolve(pairs, sub, grid, limit))
+    pairs = cut(_judge(from_points.unionByName(from_cells).filter(
+        box_low(_side("p"), _side("q")) <= limit), limit))
+    undecided = F.col("open") & (F.col("sure") < F.col("need"))
+    few = F.col("p.n") * F.col("q.n") <= SMALL_PAIR
+    known = pairs.filter(~undecided).select("layer", "a", "b", "need", F.col("sure").alias("hits"))
+    listed = _list_pairs(pairs.filter(undecided & few), points, limit)
+    hits = known.unionByName(listed)
+    crowded = pairs.filter(undecided & ~few)
+    if not crowded.isEmpty():
+        # Finer summaries only for the cells whose boxes leave such a question open.
+        involved = crowded.select("layer", "q.cy", "q.cx").union(
+            crowded.filter("p.n > 1").select("layer", "p.cy", "p.cx")).distinct()
+        sub = cut(_sub_summaries(points.join(involved, cell, "left_semi").drop("cy", "cx"), grid))
+        hits = hits.unionByName(_resolve(
+            crowded.select("layer", "a", "b", "need", "p", "q"), sub, grid, limit))
+    hits = cut(hits)
 
     # Core points of sparse cells.
-    counted = close.groupBy("layer", "a").agg(F.sum("bw").alias("m")).unionByName(
+    counted = near.groupBy("layer", "a").agg(F.sum("bw").alias("m")).unionByName(
         hits.filter(F.col("need") == solo).select(
             "layer", "a", F.col("hits").alias("m")))
     core = cut(counted.groupBy("layer", "a").agg(F.sum("m").alias("m"))
@@ -262,7 +306,7 @@ def density_clusters(df: DataFrame, layers: Column, eps: float = S.EPS_METERS,
         touching.filter(F.col("need") != solo).select("layer", "a", "b")
         .unionByName(touching.filter(F.col("need") == solo)
                      .join(a_core, ["layer", "a"], "left_semi").select("layer", "a", "b"))
-        .unionByName(close.filter(F.col("a") < F.col("b")).join(a_core, ["layer", "a"], "left_semi")
+        .unionByName(close.join(a_core, ["layer", "a"], "left_semi")
                      .join(b_core, ["layer", "b"], "left_semi").select("layer", "a", "b"))
     )
     rooted = components(vertices, edges, ["layer"])
@@ -275,7 +319,7 @@ def density_clusters(df: DataFrame, layers: Column, eps: float = S.EPS_METERS,
     dense_labels = dense.select(*cell, F.col("rep.ord").alias("v")).join(
         clustered, ["layer", "v"]).select(*cell, "cluster")
     # Border points take the lowest cluster among the core points and cells within eps.
-    contacts = close.select("layer", "a", "b").unionByName(
+    contacts = near.select("layer", "a", "b").unionByName(
         touching.filter(F.col("need") == solo).select("layer", "a", "b"))
     border = contacts.join(clustered.withColumnRenamed("v", "b"), ["layer", "b"]).groupBy(
         "layer", F.col("a").alias("v")).agg(F.min("cluster").alias("cluster"))
@@ -283,4 +327,4 @@ def density_clusters(df: DataFrame, layers: Column, eps: float = S.EPS_METERS,
     sparse_labels = sparse.select("layer", "lat", "lon", F.col("ord").alias("v")).join(
         labels, ["layer", "v"]).select(
         "layer", "lat", "lon", "cluster", F.coalesce("core", F.lit(False)).alias("core"))
-    return DensityClusters(grid, cut(dense_labels), cut(sparse_labels))
+    return DensityClusters(grid, dense_labels, sparse_labels)
