@@ -56,9 +56,19 @@ def ntz_from_micros(micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.expr(EPOCH))
 
 
+def micros_between(start: Column, end: Column) -> Column:
+    """Microseconds from ``start`` to ``end``, both UTC wall clock.
+
+    ``timestamp_diff`` would read them in the session zone, with its clock changes; the
+    difference of two wall-clock timestamps does not.
+    """
+    span = (end - start).cast(T.DayTimeIntervalType(3, 3)).cast(T.DecimalType(20, 6))
+    return (span * 1_000_000).cast("long")
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a UTC wall-clock timestamp."""
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), ts)
+    return micros_between(F.expr(EPOCH), ts)
 
 
 def local_time(ts: Column) -> Column:

@@ -78,7 +78,7 @@ def resolution_micros(df: DataFrame) -> Column | None:
     finish = [F.col(c) for c in ("closed_datetime", "end_datetime") if c in df.columns]
     if not finish or "start_datetime" not in df.columns:
         return None
-    span = F.timestamp_diff("MICROSECOND", F.col("start_datetime"), F.coalesce(*finish))
+    span = C.micros_between(F.col("start_datetime"), F.coalesce(*finish))
     return F.when(span.between(0, S.MAX_RESOLUTION_HOURS * 3_600_000_000), span)
 
 

@@ -25,8 +25,9 @@ def incident_view(events: DataFrame) -> DataFrame:
     parsed = events.selectExpr(
         "event_id", "user_id", "event_type AS kind", "value",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
-        "timestampadd(SECOND, 5 * timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts),"
-        " timestamp_ntz'2023-11-10 00:00:00') AS t",
+        "timestampadd(SECOND, 5 * CAST(floor(CAST(CAST(ts - timestamp_ntz'2024-01-01 00:00:00'"
+        " AS INTERVAL SECOND) AS DECIMAL(20, 6))) AS BIGINT), timestamp_ntz'2023-11-10 00:00:00')"
+        " AS t",
     )
     # The parsed values travel through the generator: a filter on a derived column then
     # stays above it and reads them, instead of repeating the JSON parsing per reference.
