@@ -27,6 +27,7 @@ POINT_LEVEL = GRID.depth + 1
 # Degrees per radian of arc, with a margin for the narrowing of meridians.
 DEGREES = 57.29577951308232 * (1 + 1e-6)
 
+SPREAD = 1 << 16
 # Cells with so few points are compared point by point instead of being split further.
 SMALL_CELL = 32
 
@@ -199,6 +200,7 @@ def _compare(open_cells: DataFrame, labelled: DataFrame) -> DataFrame:
         .withColumn("cx", GRID.at_level(GRID.finest_x(F.col("px")), F.col("level")))
     )
     used = open_cells.select(*CELL).distinct()
+    # The semi join keeps only the copies of a point whose cell is really asked for.
     return open_cells.join(points.join(used, CELL, "left_semi"), CELL).select(
         *PLACE, F.struct(
             C.haversine_term(F.col("lat"), F.col("lon"), F.col("py"), F.col("px")).alias("h"),
@@ -214,8 +216,15 @@ def fill_from_nearest(df: DataFrame, fields: list[str]) -> DataFrame:
         return df
     found = nearest_labels(df, fields).groupBy("lat", "lon").agg(*[
         F.max(F.when(F.col("field") == f, F.col("label"))).alias(f"_near_{f}") for f in fields])
-    joined = df.join(
-        found, (df["latitude"] == found["lat"]) & (df["longitude"] == found["lon"]), "left")
+    # Rows that need no label get a key of their own that matches nothing. They spread evenly
+    # over the shuffle; as nulls they would all meet in one task.
+    needs = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & ~F.forall(
+        F.array(*fields), lambda v: v.isNotNull())
+    keyed = df.withColumn("_lat", F.when(needs, F.col("latitude")).otherwise(
+        F.lit(-1000.0) - F.pmod("ordinal", F.lit(SPREAD))))
+    joined = keyed.join(
+        found, (keyed["_lat"] == found["lat"]) & (
+            F.coalesce(keyed["longitude"], F.lit(0.0)) == found["lon"]), "left")
     return joined.withColumns(
         {f: F.coalesce(F.col(f), F.col(f"_near_{f}")) for f in fields}
-    ).drop("lat", "lon", *[f"_near_{f}" for f in fields])
+    ).drop("_lat", "lat", "lon", *[f"_near_{f}" for f in fields])
