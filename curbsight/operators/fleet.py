@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curbsight import settings as S
 from curbsight.functions import columns as C
+from curbsight.functions.lineage import cut
 
 CAUSE_SIGNALS = {
     "breakdown": "vehicle_breakdown", "accident": "accident", "congestion": "congestion",
@@ -109,7 +110,12 @@ def _rationale() -> Column:
 
 
 def allocate(signals: DataFrame) -> DataFrame:
-    """One row per zone: units, demand per resource, rank, raw signals and the reason."""
+    """One row per zone: units, demand per resource, rank, raw signals and the reason.
+
+    The signals are used several times; writing their one row per zone first keeps the event
+    table from being aggregated again for each use.
+    """
+    signals = cut(signals)
     shares = largest_remainder(zone_demand(signals))
     wide = shares.groupBy("zone").agg(*[
         F.max(F.when(F.col("resource") == r, F.col(c))).alias(a)
