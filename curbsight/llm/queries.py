@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from curbsight.llm import decontaminate, jaccard, line_dedup, packing, quality
+from curbsight.functions.lineage import new_table_path
+from curbsight.llm import (decontaminate, jaccard, language, line_dedup, packing, quality, secrets,
+                           token_index)
 from curbsight.llm.common import read
 
 
@@ -12,6 +14,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(read(spark, sf_dir, "documents")))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find(read(spark, sf_dir, "documents")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.clean_lines(read(spark, sf_dir, "documents")))
 
@@ -20,6 +26,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(read(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
@@ -31,8 +41,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index.digests(token_index.stored_documents(
+        spark, read(spark, sf_dir, "documents"), new_table_path(spark, "token-index")))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op3_line_dedup, op4_quality_classifier, op7_benchmark_decontamination,
-    op8_ngram_jaccard_join)}
+    op1_packing, op2_secret_scan, op3_line_dedup, op4_quality_classifier, op6_language_id,
+    op7_benchmark_decontamination, op8_ngram_jaccard_join, op10_token_index)}
 
 ORACLES = {"op3_line_dedup": line_dedup.SQL}
