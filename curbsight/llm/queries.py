@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curbsight.functions.lineage import new_table_path
-from curbsight.llm import (decontaminate, jaccard, language, line_dedup, packing, quality, secrets,
-                           token_index)
+from curbsight.llm import (decontaminate, jaccard, language, line_dedup, neighbours, packing, quality,
+                           secrets, token_index)
 from curbsight.llm.common import read
 
 
@@ -41,6 +41,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.digests(token_index.stored_documents(
         spark, read(spark, sf_dir, "documents"), new_table_path(spark, "token-index")))
@@ -48,6 +52,7 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_secret_scan, op3_line_dedup, op4_quality_classifier, op6_language_id,
-    op7_benchmark_decontamination, op8_ngram_jaccard_join, op10_token_index)}
+    op7_benchmark_decontamination, op8_ngram_jaccard_join,
+    op9_embedding_near_dedup, op10_token_index)}
 
 ORACLES = {"op3_line_dedup": line_dedup.SQL}
