@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curbsight.functions.lineage import new_table_path
 from curbsight.llm import (decontaminate, jaccard, language, line_dedup, neighbours, packing, quality,
-                           secrets, token_index)
+                           repeats, secrets, token_index)
 from curbsight.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.without_repeats(read(spark, sf_dir, "documents")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(read(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_secret_scan, op3_line_dedup, op4_quality_classifier, op6_language_id,
+    op1_packing, op2_secret_scan, op3_line_dedup, op4_quality_classifier, op5_suffix_dedup, op6_language_id,
     op7_benchmark_decontamination, op8_ngram_jaccard_join,
     op9_embedding_near_dedup, op10_token_index)}
 
