@@ -28,8 +28,6 @@ from curbsight.llm.common import Rolling, in_tasks, kept, mixed, portions, recor
 SIZE, GRAM, NODE = 400, 32, 32
 SEGMENT = 1 << 20
 POSITION_BITS = 21
-# Tables of marks up to so many bytes are sent to all tasks; larger ones are joined by a shuffle.
-SEND_BYTES = 32 << 20
 
 _rolling: dict[str, Rolling] = {}
 
@@ -135,12 +133,6 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
     return in_tasks(texts, run, "tk binary, gram long, span long, many boolean, x int, runs binary")
 
 
-def _sent(df: DataFrame, size: Column) -> DataFrame:
-    """``df``, broadcast if the sum of ``size`` over its rows allows it."""
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(df) if total <= SEND_BYTES else df
-
-
 def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes around the anchors of ``wanted`` (tk, gram, x, open, runs), by text."""
     per_text = kept(wanted.groupBy("tk").agg(
@@ -169,8 +161,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                         out[name].append(value)
                 yield record_batch(_CONTEXT, out)
 
-    size = F.size("places") * 48 + 64
-    joined = texts.join(_sent(per_text, size), "tk").select("tk", "text", "places")
+    joined = texts.join(per_text, "tk").select("tk", "text", "places")
     rows = in_tasks(joined, run, "o long, tk binary, gram long, open boolean, x int, at int, "
                                  "low int, high int, bytes binary")
     return kept(rows.dropDuplicates(["tk", "x", "gram", "open"]), "contexts")
@@ -326,9 +317,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     copied = texts.groupBy("tk").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         "tk", F.lit(True).alias("copied"))
     marks = kept(repeated_starts(texts).join(copied, "tk", "full_outer"), "marks")
-    size = 64 + F.coalesce(F.size("ends") * 24, F.lit(0)) + F.coalesce(
-        F.aggregate("runs", F.lit(0), lambda a, r: a + F.length(r) + 16), F.lit(0))
-    joined = docs.join(_sent(marks, size), "tk", "left")
+    joined = docs.join(marks, "tk", "left")
 
     def run(batches):
         for part in portions(batches, "text", 1 << 20):
