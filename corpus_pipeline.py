@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curbsight.llm import decontaminate, jaccard, line_dedup, packing, quality
-from curbsight.llm.common import kept, read
+from curbsight.llm.common import kept, packed, read, unpacked
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,13 +20,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sites share go; all documents stay. ``n_chars`` follows the text."""
-    cleaned = line_dedup.clean_lines(docs)
-    changed = F.col("_n_removed") > 0
-    columns = {"text": F.col("_kept")}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.length("_kept").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cleaned.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    used = [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
+    cleaned = line_dedup.clean_lines(packed(docs, *used)).withColumn("text", F.col("_kept"))
+    if "n_chars" in used:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length(
+            "_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned.select(*unpacked(docs.columns, *used))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from curbsight.functions.lineage import new_table_path
 
@@ -27,7 +27,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_tasks(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used``, and all others inside one struct, where no name can clash."""
+    others = [c for c in docs.columns if c not in used]
+    return docs.select(*used, *([F.struct(*others).alias("extra")] if others else []))
+
+
+def unpacked(columns: list[str], *used: str) -> list[Column]:
+    """The original ``columns`` of a table that went through ``packed``."""
+    return [F.col(c) if c in used else F.col("extra").getField(c).alias(c) for c in columns]
+
+
+def in_tasks(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` whose workers can import this package from where the driver has it.
 
     On a cluster the package is shipped as usual (``--py-files`` or an installed wheel).

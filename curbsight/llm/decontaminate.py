@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from curbsight.llm.common import in_tasks, kept, mixed, portions, record_batch, row_key
+from curbsight.llm.common import (in_tasks, kept, mixed, packed, portions, record_batch, row_key,
+                                  unpacked)
 
 SEED = 4
 COVERAGE = 0.5
@@ -185,7 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED,
                   share: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with _items (sorted distinct ids of the leaked items) and _coverage (greatest).
 
-    A clean document has an empty list and coverage 0. Rows with the same id and text get the
+    Columns of these two names are replaced. A clean document has an empty list and coverage 0. Rows with the same id and text get the
     same result. An item without an id counts under id null: its coverage shows, its id cannot.
     """
     found = kept(leaks(docs, benchmark, seed, share, block_bytes), "leaks")
@@ -193,12 +194,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED,
         F.sort_array(F.collect_set("item_id")).alias("_items"),
         F.max(F.col("covered") / F.col("item_words")).alias("_coverage"))
     key, text_key = row_key()
-    return docs.withColumns({"_id": key, "_txt": text_key}).join(
+    return packed(docs, "doc_id", "text").withColumns({"_id": key, "_txt": text_key}).join(
         per_doc, ["_id", "_txt"], "left").select(
-        *docs.columns, F.coalesce("_items", F.array().cast("array<bigint>")).alias("_items"),
+        *unpacked([c for c in docs.columns if c not in ("_items", "_coverage")],
+                  "doc_id", "text"), F.coalesce("_items", F.array().cast("array<bigint>")).alias("_items"),
         F.coalesce("_coverage", F.lit(0.0)).alias("_coverage"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    return contamination(docs, benchmark).filter("_coverage = 0").select(*docs.columns)
+    return contamination(packed(docs, "doc_id", "text"), benchmark).filter(
+        "_coverage = 0").select(*unpacked(docs.columns, "doc_id", "text"))

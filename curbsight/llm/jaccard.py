@@ -23,8 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curbsight.functions.lineage import cut
-from curbsight.llm.common import (LOWEST, Rolling, in_tasks, kept, mixed, portions,
-                                  record_batch)
+from curbsight.llm.common import (LOWEST, Rolling, in_tasks, kept, mixed, packed, portions,
+                                  record_batch, unpacked)
 from curbsight.operators.components import components
 
 WORDS = 5
@@ -394,8 +394,8 @@ def one_per_group(docs: DataFrame, **options) -> DataFrame:
     keep = groups.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))) \
         .select(F.coalesce("doc_id", F.lit(LOWEST)).alias("_id")).distinct()
     repeated = groups.groupBy("doc_id").count().filter("count > 1")
-    chosen = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))) \
+    chosen = packed(docs, "doc_id", "text").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))) \
         .join(keep, "_id", "left_semi")
     if not repeated.isEmpty():
         chosen = chosen.dropDuplicates(["_id", "text"])
-    return chosen.select(*docs.columns)
+    return chosen.select(*unpacked(docs.columns, "doc_id", "text"))

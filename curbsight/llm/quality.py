@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from curbsight.llm.common import fold_of, in_tasks, portions, record_batch
+from curbsight.llm.common import fold_of, in_tasks, packed, portions, record_batch, unpacked
 
 PASSAGE = 600
 HELD_OUT_FOLDS, HELD_OUT = 3, 1
@@ -259,8 +259,8 @@ def score(docs: DataFrame, model: Model | None, columns: tuple[str, ...] = ()) -
             yield pa.RecordBatch.from_arrays(
                 [*out.columns, pa.array(scores, pa.float64())], [*carried, "_score"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return in_tasks(frame, run, f"{ddl}, _score double")
+    return in_tasks(frame, run, T.StructType(
+        [*fields, T.StructField("_score", T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -272,5 +272,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns."""
-    columns = tuple(c for c in docs.columns if c != "doc_id")
-    return score(docs, train(docs, labels), columns).filter("_score >= 0.5").select(*docs.columns)
+    frame = packed(docs, "doc_id", "text")
+    return score(frame, train(docs, labels), tuple(frame.columns[1:])).filter(
+        "_score >= 0.5").select(*unpacked(docs.columns, "doc_id", "text"))
