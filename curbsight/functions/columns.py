@@ -46,9 +46,9 @@ def to_utc(x: Column, formats: list[str] | None = None) -> Column:
     parsed = zoned.try_cast("timestamp")
     utc = ntz_from_micros(F.unix_micros(parsed))
     if formats:
-        # Wall-clock formats: read in the session zone, then shown in it again.
-        utc = F.coalesce(utc, *[
-            F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
+        # Wall-clock formats get the offset of UTC, so the session zone has no say.
+        utc = F.coalesce(utc, *[ntz_from_micros(F.unix_micros(F.try_to_timestamp(
+            F.concat(text, F.lit(" +00:00")), F.lit(f"{f} XXX")))) for f in formats])
     return utc
 
 

@@ -129,8 +129,8 @@ def roc_curve(scores: DataFrame) -> DataFrame:
     total = _totals(scores)
     kept = _corner_points(cumulative_counts(scores))
     curve = kept.select(
-        F.col("cum_kept").alias("position"), (F.col("fp") / total["n"]).alias("fpr"),
-        (F.col("tp") / total["p"]).alias("tpr"))
+        F.col("cum_kept").alias("position"), F.try_divide("fp", total["n"]).alias("fpr"),
+        F.try_divide("tp", total["p"]).alias("tpr"))
     origin = scores.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("position"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     step = _thinning(kept.agg(F.count(F.lit(1)) + 1).scalar())
@@ -148,8 +148,8 @@ def pr_curve(scores: DataFrame) -> DataFrame:
     m = points.agg(F.count(F.lit(1))).scalar()
     curve = points.select(
         (m - F.col("idx")).alias("position"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / total["p"]).alias("recall"))
+        F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+        F.try_divide("tp", total["p"]).alias("recall"))
     end = points.agg(F.count(F.lit(1)).alias("position")).select(
         "position", F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return curve.unionByName(end).filter(F.col("position") % step == 0).select(

@@ -116,7 +116,7 @@ def corridor_load(df: DataFrame) -> DataFrame:
         F.count("id").alias("corridor_event_load"))
     busiest = loads.agg(F.max("corridor_event_load")).scalar()
     loads = loads.withColumn(
-        "corridor_load_norm", C.half_even(F.col("corridor_event_load") / busiest, 4))
+        "corridor_load_norm", C.half_even(F.try_divide("corridor_event_load", busiest), 4))
     return df.join(loads, "corridor", "left")
 
 

@@ -54,11 +54,12 @@ def bad_lines(read: DataFrame) -> DataFrame:
 def with_ordinal(snapshot: DataFrame) -> DataFrame:
     """Number the rows in input order: files by name, blocks by offset, rows as read.
 
-    Only the counts per block are ordered, one row per file block; the rows stay where they
-    are. ``snapshot`` must be a written table, so that the positions cannot change.
+    Dropped lines leave gaps, so that no number repeats. Only the line spans of the blocks are
+    ordered, one row per file block; the rows stay where they are. ``snapshot`` must be a written table, so that the positions cannot change.
     """
     blocks = snapshot.groupBy("_file", "_block").agg(
-        F.min("_line").alias("first"), F.count(F.lit(1)).alias("n"))
+        F.min("_line").alias("first"),
+        (F.max("_line") - F.min("_line") + 1).alias("n"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("_file", "_block", "first",
                             F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -19,6 +19,19 @@ def test_numbers_and_times(spark):
     assert got == [12.5, 10.0, None, None, None, None, 0.5, 1.0, None]
 
 
+def test_formats_do_not_depend_on_the_session_zone(spark):
+    from curbsight.functions import columns as C
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([("10/03/2024 02:30",)], "x string")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = df.select(C.to_utc(F.col("x"), ["dd/MM/yyyy HH:mm", "MM/dd/yyyy HH:mm"])).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == dt.datetime(2024, 3, 10, 2, 30) and dt.datetime(2024, 10, 3) != got
+
+
 def test_times_do_not_depend_on_the_session_zone(spark):
     words = ["2024-01-02 03:04:05", "2024-01-02T03:04:05Z", "2024-01-02 08:34:05+05:30",
              "2024-01-02 03:04:05.250000+00", "2024-01-02", "soon", None]

@@ -40,6 +40,16 @@ def test_input_order_over_several_files(spark, tmp_path):
     assert [r.ordinal for r in out] == list(range(15))
 
 
+def test_dropped_lines_leave_distinct_ordered_ordinals(spark, tmp_path):
+    for name in "ab":
+        lines = [f"{name}{j}" + (",surplus" if name == "a" and j in (2, 5) else "") for j in range(10)]
+        (tmp_path / f"{name}.csv").write_text("id\n" + "\n".join(lines) + "\n")
+    out = files.ingest(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [r.id for r in out] == [f"a{j}" for j in range(10) if j not in (2, 5)] + [
+        f"b{j}" for j in range(10)]
+    assert len({r.ordinal for r in out}) == 18
+
+
 def test_split_is_stable_stratified_and_free_of_leaks(spark, sf):
     table = prepare.label_table(catalog.features_of(spark, sf), "closure")
     one = prepare.split(table, "closure").filter("is_test").select("id").toPandas()

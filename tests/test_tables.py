@@ -35,6 +35,15 @@ def test_degenerate_labels(spark, labels):
     assert M.optimal_threshold(df).first().threshold == (0.0 if labels and labels[0] else 0.5) or not labels
 
 
+@pytest.mark.parametrize("labels,empty", [([1, 1, 1], "fpr"), ([0, 0], "tpr")])
+def test_curves_of_one_class(spark, labels, empty):
+    df = spark.createDataFrame([(y, 0.1 * i) for i, y in enumerate(labels)], "label int, score double")
+    points = M.roc_curve(df).filter("position > 0").collect()
+    assert points and all(p[empty] is None for p in points)
+    recalls = {p.recall for p in M.pr_curve(df).collect()}
+    assert (None in recalls) == (empty == "tpr")
+
+
 def test_measures_by_hand(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.1)], "label int, score double")
     row = M.clf_metrics(df, 0.5).first()
