@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from curbsight.llm.common import fold_of, in_tasks, packed, portions, record_batch, unpacked
 
 PASSAGE = 600
+# Texts are described in portions of so many bytes: each needs some hundred bytes per character.
+PORTION = 1 << 19
 HELD_OUT_FOLDS, HELD_OUT = 3, 1
 # The model is fitted on at most so many labelled documents of each class, and on at most so
 # many passages of each, evenly spread. Scoring uses every passage of every document.
@@ -219,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS_PER_CL
         chosen, "doc_id")
 
     def run(batches):
-        for part in portions(batches, "text", 1 << 20):
+        for part in portions(batches, "text", PORTION):
             features, first = passage_features(part["text"])
             blobs = []
             for a, b in zip(first[:-1], first[1:]):
@@ -249,7 +251,7 @@ def score(docs: DataFrame, model: Model | None, columns: tuple[str, ...] = ()) -
     def run(batches):
         for batch in batches:
             scores = []
-            for part in portions([batch.select(["text"])], "text"):
+            for part in portions([batch.select(["text"])], "text", PORTION):
                 if model is None:
                     scores += [0.5] * len(part["text"])
                 else:
