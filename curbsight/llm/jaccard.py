@@ -39,13 +39,15 @@ COUNT_FLUSH = 4_000_000
 # Ids of sets to verify are broadcast up to this number, and joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
 SMALLEST_MAP, LARGEST_MAP = 64, 1 << 16
+# Words of the short parity map that goes with the members of a list.
+BRIEF = 8
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _rolling: dict[str, Rolling] = {}
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("sid", pa.binary()), ("size", pa.int32()),
-                   ("bits", pa.binary())])
+                   ("bits", pa.binary()), ("brief", pa.list_(pa.int64()))])
 _COUNTS = pa.schema([("part", pa.int32()), ("keys", pa.binary())])
 _POSTS = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("sid", pa.binary()),
                     ("size", pa.int32()), ("pos", pa.int32())])
@@ -94,6 +96,13 @@ def parity_map(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def brief_map(tokens: np.ndarray) -> list[int]:
+    """A parity map of ``BRIEF`` 64-bit words, the same size for every set."""
+    odd = np.bincount((tokens >> np.uint64(20) & np.uint64(64 * BRIEF - 1)).astype(np.int64),
+                      minlength=64 * BRIEF) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def most_shared(a: bytes, b: bytes, size_a: int, size_b: int) -> int:
     """Upper bound of the intersection: every differing bit is a token of one set only."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -114,16 +123,18 @@ def prefix_length(size: int) -> int:
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document: id, set id, size and parity map."""
+    """One row per document: id, set id, size and parity maps."""
     def run(batches):
         for part in portions(batches, "text"):
             sets = shingle_sets([t or "" for t in part["text"]], words)
             yield record_batch(_SETS, {
                 "doc_id": part["doc_id"], "sid": [set_id(s) for s in sets],
                 "size": [len(s) for s in sets],
-                "bits": [parity_map(s) if len(s) else b"" for s in sets]})
+                "bits": [parity_map(s) if len(s) else b"" for s in sets],
+                "brief": [brief_map(s) for s in sets]})
 
-    return in_tasks(docs, run, "doc_id long, sid binary, size int, bits binary")
+    return in_tasks(docs, run,
+                    "doc_id long, sid binary, size int, bits binary, brief array<bigint>")
 
 
 def heavy_keys(docs: DataFrame, words: int, keys: int, least: int) -> np.ndarray:
@@ -322,10 +333,11 @@ def _classes(links: DataFrame) -> DataFrame:
                .select(F.col("v").alias("sid"), F.col("root").alias("class")))
 
 
-def _across_classes(lists: DataFrame, classes: DataFrame) -> DataFrame:
+def _across_classes(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of a list whose members are of different classes and within reach of each other.
 
-    The members of a list's largest class meet only its other members.
+    The members of a list's largest class meet only its other members. Every differing bit of two
+    brief maps is a token of one set only; pairs that differ in too many are not written.
     """
     own = lists.join(classes, "sid", "left").withColumn("class", F.coalesce("class", "sid"))
     own = kept(own, "class-lists")
@@ -336,14 +348,21 @@ def _across_classes(lists: DataFrame, classes: DataFrame) -> DataFrame:
     open_ = own.join(main, "token").withColumn("rest", F.col("class") != F.col("main"))
     block = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(OF / SHARED)) + 1e-9)
     open_ = kept(open_.select("token", "sid", "class", "size", "pos", "rest",
-                              block.cast("int").alias("block")), "open-lists")
+                              block.cast("int").alias("block")).join(
+        sets.select("sid", "brief"), "sid"), "open-lists")
     left = open_.filter("rest").select(
         "token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
         .alias("block"), F.col("sid").alias("sid_l"), F.col("class").alias("class_l"),
-        F.col("size").alias("size_l"), F.col("pos").alias("pos_l"))
+        F.col("size").alias("size_l"), F.col("pos").alias("pos_l"),
+        F.col("brief").alias("brief_l"))
+    differ = sum((F.bit_count(F.col("brief_l")[i].bitwiseXOR(F.col("brief")[i]))
+                  for i in range(BRIEF)), F.lit(0))
+    both = F.col("size_l") + F.col("size")
     met = left.join(open_, ["token", "block"]).filter(
         (F.col("class_l") != F.col("class")) & (~F.col("rest") | (F.col("sid_l") < F.col("sid")))
-        & _within_reach(F.col("size_l"), F.col("size"), F.col("pos_l"), F.col("pos")))
+        & _within_reach(F.col("size_l"), F.col("size"), F.col("pos_l"), F.col("pos"))
+        # At most (both - differ) / 2 tokens are shared; a link has SHARED * both / (SHARED + OF).
+        & ((both - differ) * (SHARED + OF) >= both * (2 * SHARED)))
     return met.select(F.least("sid_l", "sid").alias("x"),
                       F.greatest("sid_l", "sid").alias("y")).distinct()
 
@@ -362,7 +381,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, heavy_from: int = HEAVY_
     rows = kept(described(docs, words), "sets")
     sets = kept(rows.filter("size > 0").groupBy("sid").agg(
         F.min("doc_id").alias("doc_id"), F.first("size").alias("size"),
-        F.first("bits").alias("bits")), "distinct-sets")
+        F.first("bits").alias("bits"), F.first("brief").alias("brief")), "distinct-sets")
     lists = kept(postings(docs, words, heavy_keys(docs, words, heavy, heavy_from)), "postings")
 
     leaders = lists.groupBy("token").agg(F.min_by(
@@ -372,7 +391,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, heavy_from: int = HEAVY_
             F.col("size"), F.col("lead.size"), F.col("pos"), F.col("lead.pos"))).select(
         F.least("sid", "lead.sid").alias("x"), F.greatest("sid", "lead.sid").alias("y"))
     first = linked(stars.distinct(), sets, docs, words)
-    rest = linked(_across_classes(lists, _classes(first)), sets, docs, words)
+    rest = linked(_across_classes(lists, _classes(first), sets), sets, docs, words)
     classes = _classes(first.unionByName(rest))
 
     grouped = rows.select("doc_id", "sid", "size").join(classes, "sid", "left").withColumn(
