@@ -5,7 +5,8 @@ that reach the similarity share a shingle among the first of either (its prefix)
 lists of these prefixes are cut by a skip rule on sizes: only blocks of sizes within reach meet,
 and a position bounds what two sets can still have in common.
 
-Sets take answers over from sets like them. Every list first compares its members with one leader.
+Sets take answers over from sets like them. Every list first compares its members with one leader:
+the member with the fewest rare tokens before it, which of near copies is the least edited.
 Sets that are found to be linked form classes, and afterwards only members of different classes
 are compared: the links of a class answer for all its members. A group of thousands of near copies
 costs one comparison per member and list, not one per pair. Rows are links or classes, never
@@ -385,7 +386,8 @@ def similar_groups(docs: DataFrame, words: int = WORDS, heavy_from: int = HEAVY_
     lists = kept(postings(docs, words, heavy_keys(docs, words, heavy, heavy_from)), "postings")
 
     leaders = lists.groupBy("token").agg(F.min_by(
-        F.struct("sid", "size", "pos"), F.struct(F.xxhash64("sid"), "sid")).alias("lead"))
+        F.struct("sid", "size", "pos"),
+        F.struct(F.col("pos") / F.col("size"), F.xxhash64("sid"), "sid")).alias("lead"))
     stars = lists.join(leaders, "token").filter(
         (F.col("sid") != F.col("lead.sid")) & _within_reach(
             F.col("size"), F.col("lead.size"), F.col("pos"), F.col("lead.pos"))).select(
