@@ -282,8 +282,10 @@ def forecast_of(ahead: DataFrame, totals: DataFrame, scope: str) -> DataFrame:
     """The forecast of one scope with its totals; an unknown scope is an error."""
     found = ahead.filter(F.col("scope") == scope)
     if found.isEmpty():
-        known = sorted(r[0] for r in totals.select("scope").limit(1000).collect())
-        raise KeyError(f"no forecast for scope '{scope}'; available: {known}")
+        near = [r[0] for r in totals.select("scope").distinct().orderBy(
+            F.levenshtein("scope", F.lit(scope)), "scope").limit(5).collect()]
+        raise KeyError(f"no forecast for scope '{scope}' among "
+                       f"{totals.select('scope').distinct().count()}; nearest names: {near}")
     return found.join(totals, "scope", "left").drop("model", "step")
 
 

@@ -19,8 +19,10 @@ from curbsight.learning.registry import ModelRegistry
 from curbsight.operators import cleaning, features, fleet, forecasting, hotspots, quality, road_health
 from curbsight.sources import files
 
-STAGES = ["raw", "quality", "clean", "features", "road_health", "hotspots", "allocation",
-          "forecasts", "models"]
+STAGES = ["raw", "quality", "clean", "features", "road_health", "hotspots", "kmeans_zones",
+          "allocation", "forecasts", "models"]
+# Tables between a stage and the stages before it; a run builds them anew with their stage.
+INNER = {"hotspots": ["labelled"], "forecasts": ["series", "tested", "forecast_metrics"]}
 # From this many rows on, the feature table is laid out by date for partition pruning.
 ROWS_FOR_DATE_FOLDERS = 100_000_000
 
@@ -116,15 +118,20 @@ class IncidentJob:
             self.forecast_options), "forecasts")
 
     def _build_models(self) -> None:
+        """Trained models in the registry, and their reports under ``evaluation/<task>``."""
         registry = ModelRegistry(self.spark, self.path("models"))
-        for run in train.train_all(self.table("features"), **self.training).values():
+        for task, run in train.train_all(self.table("features"), **self.training).items():
             registry.log_run(run)
+            for report, table in train.evaluate_task(run).items():
+                self._write(table, f"evaluation/{task}/{report}")
 
     def run(self, only: list[str] | None = None, skip: list[str] | None = None,
             fail_on_error: bool = False) -> list[str]:
-        """Build the chosen stages in order; returns their names."""
+        """Build the chosen stages in order, each with its inner tables; returns their names."""
         chosen = [s for s in STAGES if (not only or s in only) and s not in (skip or [])]
         for stage in chosen:
+            for inner in INNER.get(stage, []):
+                self.build(inner)
             self.build(stage)
             if stage == "quality" and fail_on_error:
                 quality.require_passed(self.table("quality"))

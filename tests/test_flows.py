@@ -12,6 +12,7 @@ from curbsight.learning import prepare, scoring, train
 from curbsight.learning.registry import ModelRegistry
 from curbsight.operators import cleaning
 from curbsight.plans import catalog, oracles
+from curbsight.plans.job import IncidentJob
 from curbsight.sources import files
 from curbsight.sources.incidents import as_of_column
 from curbsight.streaming import incidents as ST
@@ -144,6 +145,23 @@ def test_job_builds_what_is_missing_and_exports(spark, sf, tmp_path):
     assert spots.select("type").distinct().first()[0] == "Feature"
 
 
+def test_second_run_follows_new_features(spark, sf, tmp_path):
+    job = IncidentJob(spark, str(tmp_path / "job"), None, as_of_column(), models=["naive"])
+    whole = catalog.features_of(spark, sf)
+    for features in (whole, whole.filter("xxhash64(id) % 2 = 0")):
+        job._write(features, "features")
+        assert job.run(only=["forecasts"]) == ["forecasts"]
+        series = job.table("series").filter(F.col("scope") == S.CITY_SCOPE)
+        assert series.agg(F.sum("y")).first()[0] == features.count()
+
+
+def test_inner_tables_are_built_with_their_stage(spark, monkeypatch):
+    built = []
+    monkeypatch.setattr(IncidentJob, "build", lambda self, name: built.append(name))
+    IncidentJob(spark, "", None, None).run(only=["hotspots", "forecasts"])
+    assert built == ["labelled", "hotspots", "series", "tested", "forecast_metrics", "forecasts"]
+
+
 def test_lineage_folder_comes_from_the_session(spark):
     assert new_table_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir", "/"))
     assert cut(spark.range(3)).count() == 3
