@@ -19,9 +19,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sites share go; all documents stay. ``n_chars`` follows the text."""
+    """Lines that many sites share go, whatever their share of a page; all documents stay.
+
+    ``n_chars`` follows the text.
+    """
     used = [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
-    cleaned = line_dedup.clean_lines(packed(docs, *used)).withColumn("text", F.col("_kept"))
+    cleaned = line_dedup.clean_lines(packed(docs, *used), largest_share=1.0).withColumn(
+        "text", F.col("_kept"))
     if "n_chars" in used:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length(
             "_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -25,3 +25,16 @@ def test_run_equals_its_stages(spark, sf):
     key = ["doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select(*key).collect())) == sorted(
         map(tuple, expected.select(*key).collect()))
+
+
+def test_short_pages_lose_their_boilerplate(spark, sf):
+    notice = "all rights reserved by the owners of this site"
+    docs = spark.createDataFrame(
+        [(i, f"own {i}\n{notice}", f"site{i}", len(f"own {i}\n{notice}")) for i in range(12)]
+        + [(12, notice, "site12", len(notice))],
+        "doc_id long, text string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    found = {r.doc_id: (r.text, r.n_chars) for r in stage(spark, docs, sf).collect()}
+    assert found[0] == (f"own 0\n{notice}", len(f"own 0\n{notice}"))
+    assert all(found[i] == (f"own {i}", len(f"own {i}")) for i in range(1, 12))
+    assert found[12] == ("", 0)
