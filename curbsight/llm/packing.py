@@ -6,6 +6,8 @@ covers, and carries the rest (its deficit) into the next round. All packets but
 have one size, so the packets sent by the end of round ``r`` are ``floor(r * p * window / quantum)``
 in closed form, up to the queue's end. Any task can therefore say where any packet goes, from one
 row of totals per queue: deficits carry across windows and partitions without being passed on.
+With many queues the same rounds are laid out as a table of packets, whose running total over
+ranges of rounds says the same places.
 
 The rounds are laid end to end and cut into windows, so only the very last one needs padding.
 """
@@ -23,7 +25,7 @@ from curbsight.llm.tokens import END_ID, encoder, vocabulary
 WINDOW = 2048
 QUANTUM = 256
 QUEUES = 256
-OTHERS = "\u0000others"
+SCALE = 1 << 40
 NO_SOURCE = "\u0000none"
 
 _ENCODED = pa.schema([("task", pa.int64()), ("queue", pa.string()), ("doc_id", pa.int64()),
@@ -31,12 +33,13 @@ _ENCODED = pa.schema([("task", pa.int64()), ("queue", pa.string()), ("doc_id", p
 _PIECES = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("start", pa.int64()),
                      ("length", pa.int64()), ("doc_tokens", pa.int64()),
                      ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+_PACKETS = pa.schema([("queue", pa.string()), ("packet", pa.int64()),
+                      ("round", pa.decimal128(38, 0)), ("length", pa.int64())])
+PORTION = 50_000
 
 
-def encoded(docs: DataFrame, paths: tuple[str, ...], queues: list[str] | None) -> DataFrame:
+def encoded(docs: DataFrame, paths: tuple[str, ...]) -> DataFrame:
     """Ids per document, with the tokens of its queue that this task has seen before it."""
-    known = None if queues is None else set(queues)
-
     def run(batches):
         encode = encoder("byte", *paths).encode
         task, seen = TaskContext.get().partitionId(), {}
@@ -44,8 +47,6 @@ def encoded(docs: DataFrame, paths: tuple[str, ...], queues: list[str] | None) -
             out = {f.name: [] for f in _ENCODED}
             for doc_id, queue, ids in zip(
                     part["doc_id"], part["queue"], encode([t or "" for t in part["text"]])):
-                if known is not None and queue not in known:
-                    queue = OTHERS
                 before = seen.get(queue, 0)
                 seen[queue] = before + len(ids) + 1
                 out["task"].append(task)
@@ -111,6 +112,84 @@ def pieces_of(first: int, n: int, place, quantum: int, window: int):
         yield held
 
 
+def weighted(totals: DataFrame, targets: dict[str, float] | None) -> DataFrame:
+    """(queue, tokens, weight): ``mixture`` of a table of queues."""
+    if not targets:
+        return totals.withColumn("weight", F.col("tokens"))
+    named = F.col("queue").isin(list(targets))
+    met = {r["queue"] for r in totals.filter(named).select("queue").collect()}
+    left = unnamed_share(met, targets)
+    free = totals.filter(~named).agg(F.sum("tokens")).first()[0] or 0
+
+    def run(batches):
+        for batch in batches:
+            weights = [weight(n, s, targets, left, free) for n, s in zip(
+                batch.column("queue").to_pylist(), batch.column("tokens").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(weights, pa.int64())], ["queue", "tokens", "weight"])
+
+    return in_tasks(totals.select("queue", "tokens"), run,
+                    "queue string, tokens long, weight long")
+
+
+def packet_places(bases: DataFrame, totals: DataFrame, targets: dict[str, float] | None,
+                  window: int, quantum: int) -> DataFrame:
+    """(queue, packet, at): what ``Rounds.place`` says, for any number of queues.
+
+    Packets are sorted by round, queue and number over range partitions. Each task adds up its
+    own packets; only one total per partition comes to the driver.
+    """
+    queues = kept(weighted(totals, targets), "queue-weights")
+    price = int(queues.agg(F.sum(F.col("weight").cast("decimal(38,0)"))).first()[0]) * quantum
+
+    def cut(batches):
+        for batch in batches:
+            out = {f.name: [] for f in _PACKETS}
+            rows = batch.to_pydict()
+            for queue, base, held, tokens, w in zip(*(rows[c] for c in (
+                    "queue", "base", "held", "tokens", "weight"))):
+                for packet in range(-(-base // quantum), -(-(base + held) // quantum)):
+                    out["queue"].append(queue)
+                    out["packet"].append(packet)
+                    out["round"].append(-(-(packet + 1) * price // (window * w)))
+                    out["length"].append(min(quantum, tokens - packet * quantum))
+                    if len(out["queue"]) >= PORTION:
+                        yield record_batch(_PACKETS, out)
+                        out = {f.name: [] for f in _PACKETS}
+            yield record_batch(_PACKETS, out)
+
+    packets = in_tasks(
+        bases.join(queues, "queue").select("queue", "base", "held", "tokens", "weight"), cut,
+        "queue string, packet long, round decimal(38,0), length long")
+    order = ["round", "queue", "packet"]
+    fan = max(12, int(bases.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def added(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            lengths = batch.column("length").to_numpy()
+            ends = at + np.cumsum(lengths)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("queue"), batch.column("packet"),
+                 pa.array(np.full(len(ends), part), pa.int32()),
+                 pa.array(ends - lengths), pa.array(lengths)],
+                ["queue", "packet", "part", "inside", "length"])
+            at = int(ends[-1]) if len(ends) else at
+
+    # Written once, so that a packet has the same partition in the totals and in the places.
+    laid = kept(in_tasks(
+        kept(packets, "packets").repartitionByRange(fan, *order).sortWithinPartitions(*order),
+        added, "queue string, packet long, part int, inside long, length long"), "laid-packets")
+    sums = {r["part"]: r["n"] for r in laid.groupBy("part").agg(
+        F.sum("length").alias("n")).collect()}
+    starts, at = [], 0
+    for part in range(max(sums, default=0) + 1):
+        starts.append(at)
+        at += sums.get(part, 0)
+    ahead = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("part"))
+    return laid.select("queue", "packet", (ahead + F.col("inside")).alias("at"))
+
+
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, window: int = WINDOW,
          quantum: int = QUANTUM, queues: int = QUEUES,
          paths: tuple[str, ...] | None = None) -> DataFrame:
@@ -121,47 +200,60 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, window: int =
     ``targets`` gives sources a weight; all others keep weights in proportion to their tokens,
     scaled so that unnamed sources fill what the named shares leave (without ``targets``, the
     proportions of the corpus: then all queues end together). A queue that ends drops out and
-    the others go on, so every token is placed. With more than ``queues`` sources, the smaller
-    ones share one queue. An empty table gives no pieces. ``ids`` holds little-endian unsigned
-    32-bit ids.
+    the others go on, so every token is placed. Every source is a queue of its own; up to
+    ``queues`` of them are one list that each task holds, more are a table, with the same result.
+    An empty table gives no pieces. ``ids`` holds little-endian unsigned 32-bit ids.
     """
     paths = paths or (vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
-    counted = docs.groupBy(F.coalesce("source", F.lit(NO_SOURCE)).alias("queue")).count()
-    largest = [r["queue"] for r in counted.orderBy(F.desc("count"), "queue").limit(
-        queues + 1).collect()]
-    named = None if len(largest) <= queues else largest[:queues]
-    table = kept(encoded(docs, paths, named), "packed-ids")
+    table = kept(encoded(docs, paths), "packed-ids")
 
     per_task = table.groupBy("queue", "task").agg(F.sum("n").alias("tokens"))
     earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(
         Window.unboundedPreceding, -1)
     bases = per_task.select(
-        "queue", "task", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
-    totals = per_task.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy(
-        "queue").collect()
-    names = [r["queue"] for r in totals]
-    sizes = [r["tokens"] for r in totals]
-    weights = mixture(names, sizes, targets)
-    number = {name: i for i, name in enumerate(names)}
+        "queue", "task", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"),
+        F.col("tokens").alias("held"))
+    totals = per_task.groupBy("queue").agg(F.sum("tokens").alias("tokens"))
+    listed = totals.orderBy("queue").limit(queues + 1).collect()
+    placed = table.join(bases, ["queue", "task"]).select(
+        "doc_id", "queue", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
+    many = len(listed) > queues
+    if many:
+        first, last = (F.floor(F.col("first") / quantum),
+                       F.floor((F.col("first") + F.col("n") - 1) / quantum))
+        places = packet_places(bases, totals, targets, window, quantum)
+        found = placed.select("queue", "first", F.explode(F.sequence(first, last)).alias(
+            "packet")).join(places, ["queue", "packet"]).groupBy("queue", "first").agg(F.transform(
+                F.sort_array(F.collect_list(F.struct("packet", "at"))),
+                lambda x: x["at"]).alias("at"))
+        placed = placed.join(found, ["queue", "first"])
+    else:
+        names = [r["queue"] for r in listed]
+        sizes = [r["tokens"] for r in listed]
+        weights = mixture(names, sizes, targets)
+        number = {name: i for i, name in enumerate(names)}
 
     def run(batches):
-        rounds = Rounds(sizes, weights, window, quantum)
+        rounds = None if many else Rounds(sizes, weights, window, quantum)
         for part in portions(batches, "ids"):
             out = {f.name: [] for f in _PIECES}
-            for doc_id, queue, first, n, raw in zip(
-                    part["doc_id"], part["queue"], part["first"], part["n"], part["ids"]):
+            for i, (doc_id, queue, first, n, raw) in enumerate(zip(
+                    part["doc_id"], part["queue"], part["first"], part["n"], part["ids"])):
                 ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4")
-                ids, q = ids.astype("<u4"), number[queue]
-                for start, length, at in pieces_of(
-                        first, n, lambda p: rounds.place(q, p), quantum, window):
+                ids = ids.astype("<u4")
+                if many:
+                    own, begin = part["at"][i], first // quantum
+                    place = lambda p: own[p - begin]
+                else:
+                    q = number[queue]
+                    place = lambda p: rounds.place(q, p)
+                for start, length, at in pieces_of(first, n, place, quantum, window):
                     for name, value in zip(out, (
                             doc_id, queue, start, length, n, at // window, at % window,
                             ids[start:start + length].tobytes())):
                         out[name].append(value)
             yield record_batch(_PIECES, out)
 
-    placed = table.join(bases, ["queue", "task"]).select(
-        "doc_id", "queue", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
     return in_tasks(placed, run, "doc_id long, queue string, start long, length long, "
                     "doc_tokens long, sequence_id long, offset long, ids binary")
 
@@ -170,13 +262,20 @@ def mixture(names: list[str], sizes: list[int], targets: dict[str, float] | None
     """Whole weights of the queues."""
     if not targets:
         return list(sizes)
+    left = unnamed_share(names, targets)
+    free = sum(s for n, s in zip(names, sizes) if n not in targets)
+    return [weight(n, s, targets, left, free) for n, s in zip(names, sizes)]
+
+
+def unnamed_share(names, targets: dict[str, float]) -> float:
     if any(t <= 0 for t in targets.values()) or sum(targets.values()) > 1 + 1e-9:
         raise ValueError("targets are shares above 0 that add up to at most 1")
-    left = max(0.0, 1 - sum(t for n, t in targets.items() if n in names))
-    free = sum(s for n, s in zip(names, sizes) if n not in targets)
-    scale = 1 << 40
-    return [max(1, round(scale * (targets[n] if n in targets else left * s / max(free, 1))))
-            for n, s in zip(names, sizes)]
+    return max(0.0, 1 - sum(t for n, t in targets.items() if n in names))
+
+
+def weight(name: str, size: int, targets: dict[str, float], left: float, free: int) -> int:
+    return max(1, round(SCALE * (targets[name] if name in targets
+                                 else left * size / max(free, 1))))
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -63,6 +63,28 @@ def test_packing_meets_target_shares(spark):
     assert abs(share - 0.5) < 0.05
 
 
+def test_packing_of_many_sources_keeps_every_queue(spark, docs):
+    key = ("doc_id", "queue", "start", "length", "sequence_id", "offset", "ids_crc32")
+
+    def places(**options):
+        return Counter(packing.digests(packing.pack(docs, **options)).select(*key).collect())
+
+    assert places(queues=2) == places()
+    shares = {"src9": 0.4, "none such": 0.1}
+    assert places(queues=2, targets=shares) == places(targets=shares)
+
+
+def test_packing_gives_a_small_source_its_share(spark):
+    rows = [(i, "many words in a row " * 40, f"s{i % 300}") for i in range(1200)]
+    rows += [(5000, "other words here " * 900, "tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = packing.pack(docs, targets={"tail": 0.5}).collect()
+    assert len({p.queue for p in pieces}) == 301
+    first = [p for p in pieces if p.sequence_id < 2]
+    share = sum(p.length for p in first if p.queue == "tail") / sum(p.length for p in first)
+    assert share > 0.4
+
+
 def plain_spans(text):
     kinds = [
         (0, "assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
