@@ -5,7 +5,8 @@ linked by the triangle inequality, and a group of thousands of near copies is a
 neighbour graph over the leaders starts from random-hyperplane buckets and is refined by
 NN-descent: neighbours of a leader are compared with each other, and each keeps its best. A list
 whose entries are all within reach may hide more; it is enlarged and refined again. The recall is
-audited against brute force for a fixed number of leaders, and refinement goes on while it is low.
+audited against brute force for a fixed number of leaders. While it is low, the tables are doubled;
+where they would cost as much as comparing all leaders in blocks, that is done instead.
 
 Edges between balls are settled by bounds where the angles allow it, and by comparing their
 members in blocks where not. Counts are added up per vector; pairs of vectors are never written.
@@ -32,7 +33,7 @@ CHUNK = 256
 ROUNDS = 4
 # The loop ends when fewer than this share of the list entries are new.
 STILL = 0.002
-AUDIT, ENOUGH, AUDITS = 512, 0.99, 3
+AUDIT, ENOUGH = 512, 0.99
 BLOCK = 1024
 
 
@@ -334,28 +335,74 @@ def audit(lists: DataFrame, leaders: DataFrame, queries: int) -> float:
 def neighbour_graph(leaders: DataFrame, count: int, k: int = NEIGHBOURS) -> DataFrame:
     """(u, w, cosine, fresh): lists that hold what is within reach, as far as the audit can tell."""
     fan = max(12, int(leaders.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    limits = None
-    lists = kept(_best(first_lists(leaders, count, 23, k, fan), None, k), "lists")
-    for attempt in range(AUDITS):
+    lists, limits = kept(_best(first_lists(leaders, count, 23, k, fan), None, k), "lists"), None
+    searched, seed = TABLES, 101
+    while True:
+        lists, limits = _settled(lists, leaders, limits, k, fan)
+        if audit(lists, leaders, AUDIT) >= ENOUGH:
+            return lists
+        if searched * BLOCK >= count:
+            return compared(leaders, count)
+        for _ in range(searched // TABLES):
+            lists = kept(_best(lists.unionByName(
+                first_lists(leaders, count, seed, k, fan)), limits, k), "lists")
+            seed += 1
+        searched *= 2
+
+
+def _settled(lists: DataFrame, leaders: DataFrame, limits: DataFrame | None, k: int,
+             fan: int) -> tuple[DataFrame, DataFrame | None]:
+    """Lists and limits after refinement, and again after every widening of full lists."""
+    widened = None
+    while True:
         for _ in range(ROUNDS):
             lists = refined(lists, leaders, limits, k, fan)
-            fresh = lists.agg(F.avg(F.col("fresh").cast("double"))).first()[0] or 0
-            if fresh < STILL:
-                break
-        while True:
-            wider = _saturated(lists, leaders, limits, k)
-            if wider is None:
+            # A few widened lists are not judged by all the others, which have settled.
+            looked = lists if widened is None else lists.join(widened, "u", "left_semi")
+            if (looked.agg(F.avg(F.col("fresh").cast("double"))).first()[0] or 0) < STILL:
                 break
-            limits = wider
-            lists = refined(kept(lists.join(limits.select("u").withColumn(
-                "again", F.lit(True)), "u", "left").withColumn(
-                "fresh", F.coalesce("again", "fresh")).drop("again"), "lists"),
-                leaders, limits, k, fan)
-        if audit(lists, leaders, AUDIT) >= ENOUGH:
-            break
-        lists = kept(_best(lists.unionByName(
-            first_lists(leaders, count, 101 + attempt, k, fan)), limits, k), "lists")
-    return lists
+        wider = _saturated(lists, leaders, limits, k)
+        if wider is None:
+            return lists, limits
+        limits, widened = wider, wider.select("u")
+        lists = kept(lists.join(widened.withColumn("again", F.lit(True)), "u", "left").withColumn(
+            "fresh", F.coalesce("again", "fresh")).drop("again"), "lists")
+
+
+def compared(leaders: DataFrame, count: int) -> DataFrame:
+    """(u, w, cosine, fresh): all pairs within reach, u < w, by comparing blocks of leaders."""
+    blocks = math.ceil(count / BLOCK)
+    own = F.pmod(F.xxhash64("ball", F.lit(29)), F.lit(blocks)).cast("int")
+    both = leaders.select("ball", "v", "radius", own.alias("own")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns(
+        {"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, radii = table.column("ball").to_numpy(), table.column("radius").to_numpy()
+        left = table.column("own").to_numpy() == table.column("i").to_numpy()
+        right = table.column("own").to_numpy() == table.column("j").to_numpy()
+        sizes = np.array([len(v) for v in table.column("v").to_pylist()])
+        found = []
+        for size in np.unique(sizes):
+            a, b = np.flatnonzero(left & (sizes == size)), np.flatnonzero(right & (sizes == size))
+            if not len(a) or not len(b):
+                continue
+            x, y = (_matrix(table.column("v").take(pa.array(at)).combine_chunks())
+                    for at in (a, b))
+            s = x @ y.T
+            near = _angles(s) <= REACH + radii[a][:, None] + radii[b][None, :] + SAFE
+            i, j = np.nonzero(near & (ids[a][:, None] != ids[b][None, :]))
+            u, w = ids[a[i]], ids[b[j]]
+            found.append((np.minimum(u, w), np.maximum(u, w), s[i, j]))
+        u, w, c = (np.concatenate(x) for x in zip(*found)) if found else (
+            np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))
+        return pa.table({"u": u, "w": w, "cosine": c, "fresh": np.zeros(len(u), dtype=bool)})
+
+    pairs = both.groupBy("i", "j").applyInArrow(
+        compare, "u long, w long, cosine double, fresh boolean")
+    # A pair inside one block is found from both ends.
+    return kept(pairs.groupBy("u", "w").agg(
+        F.max("cosine").alias("cosine"), F.min("fresh").alias("fresh")), "compared")
 
 
 def _saturated(lists, leaders, limits, k) -> DataFrame | None:

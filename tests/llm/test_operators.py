@@ -301,6 +301,23 @@ def test_vectors_equal_all_pairs(spark, sf):
     assert all(r.kept == (r.component_id == i) for i, r in found.items())
 
 
+def test_lists_that_fail_the_audit_are_finished_exactly(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(90, 8))
+    x = np.concatenate([x, x[:40] + np.random.default_rng(4).normal(scale=0.05, size=(40, 8))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    leaders = spark.createDataFrame(
+        [(i, bytearray(v.tobytes()), 0.01) for i, v in enumerate(x)],
+        "ball long, v binary, radius double")
+    tables = neighbours.first_lists
+    monkeypatch.setattr(neighbours, "first_lists", lambda *a: tables(*a).limit(0))
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    lists = neighbours.neighbour_graph(leaders, len(x))
+    expected = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= np.cos(neighbours.REACH + 0.02)))
+                if a < b}
+    assert expected and {(r.u, r.w) for r in lists.collect()} == expected
+    assert neighbours.audit(lists, leaders, 512) == 1.0
+
+
 def test_token_index_round_trip(spark, docs, rows, tmp_path):
     encode = slow_ids("word_bpe_49k.json")
     some = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
