@@ -23,11 +23,9 @@ from curbsight.streaming import incidents as ST
 
 _jobs: dict[tuple[str, str], IncidentJob] = {}
 _runs: dict[tuple[str, str], dict] = {}
-# The queries train smaller forests than the job's fast mode (settings.FAST_FOREST).
-QUERY_FOREST = {"numTrees": 40, "maxDepth": 10}
+# Cross-validation compares smaller models than the job's search.
 SEARCHED_FOREST = {"numTrees": 20, "maxDepth": 6}
 COMPARED_FAMILIES = {"random_forest": SEARCHED_FOREST, "boosting": {"maxIter": 8, "maxDepth": 4}}
-GBT_OPTIONS = {"maxIter": 40, "stepSize": 0.1}
 SCENARIOS = [
     {"event_cause": "accident", "hour": 18},
     {"event_cause": "pot_holes", "veh_type": "auto", "hour": 9},
@@ -58,8 +56,7 @@ def fast_runs(spark, sf, task_names=tuple(S.TASKS)) -> dict[str, dict]:
     runs = _runs.setdefault((spark.sparkContext.applicationId, sf), {})
     for task in task_names:
         if task not in runs:
-            runs[task] = train.train_task(features_of(spark, sf), task, forest=QUERY_FOREST,
-                                          tune_threshold=False)
+            runs[task] = train.train_task(features_of(spark, sf), task)
     return {t: runs[t] for t in task_names}
 
 
@@ -107,7 +104,7 @@ def scan_features(spark, sf):
 
 
 def json_records(spark, sf):
-    return A.json_records(A.latest_records(features_of(spark, sf)))
+    return A.json_records(features_of(spark, sf))
 
 
 def hotspot_geojson(spark, sf):
@@ -377,7 +374,7 @@ def forecast_ets(spark, sf):
 
 
 def forecast_gbt(spark, sf):
-    return _two_places(FC.forecast_gbt(_series(spark, sf), **GBT_OPTIONS))
+    return _two_places(FC.forecast_gbt(_series(spark, sf)))
 
 
 def forecast_metrics(spark, sf):
