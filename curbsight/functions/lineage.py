@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curbsight.functions import storage
+
+# Tables written since the innermost ``scratch`` began; None outside of any.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and stage tables.
@@ -30,7 +38,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for one written table."""
-    return f"{shared_folder(spark)}/curbsight/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/curbsight/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    written = _written.get()
+    if written is not None:
+        written.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written inside, also after an error. Results must be written elsewhere.
+
+    Threads take part if they run in a copy of the context (``contextvars.copy_context``).
+    """
+    written: list[str] = []
+    before = _written.set(written)
+    try:
+        yield
+    finally:
+        _written.reset(before)
+        for path in written:
+            storage.remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, Standard
                                 StringIndexer, VectorAssembler, VectorSlicer)
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curbsight import settings as S
 from curbsight.functions import columns as C
-from curbsight.functions.ordered import quantiles, value_counts
 
-HASH_BUCKETS = 1 << 20
+# Digits of the hash that name a bucket: 65,536 of them.
+RANK_DIGITS = 4
 RARE = "(rare)"
 
 
@@ -42,27 +42,50 @@ def label_table(df: DataFrame, task: str) -> DataFrame:
         *[F.col(c).cast("double").alias(c) for c in numbers])
 
 
-def _bucket(seed: int, buckets: int = HASH_BUCKETS) -> Column:
-    return F.pmod(C.spread(F.col("id"), seed), F.lit(buckets))
+def _order(seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string")))
+
+
+def class_ranks(table: DataFrame, stratum: Column, seed: int) -> DataFrame:
+    """``table`` with ``_rank`` (from 1) and ``_n``: the place of a row in its class, by a hash of its id.
+
+    Exact, without a task that ranks a whole class: the first digits of the hash are a bucket,
+    rows rank within their bucket, and buckets get the number of rows before them.
+    """
+    hashed = table.withColumns({"_class": stratum, "_order": _order(seed)}).withColumn(
+        "_bucket", F.substring("_order", 1, RANK_DIGITS))
+    held = hashed.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("_held"))
+    whole = Window.partitionBy("_class")
+    held = held.withColumns({
+        "_before": F.sum("_held").over(whole.orderBy("_bucket").rowsBetween(
+            Window.unboundedPreceding, -1)),
+        "_n": F.sum("_held").over(whole)})
+    inside = Window.partitionBy("_class", "_bucket").orderBy("_order", "id")
+    return hashed.withColumn("_place", F.row_number().over(inside)).join(
+        held, ["_class", "_bucket"]).withColumn(
+        "_rank", F.coalesce("_before", F.lit(0)) + F.col("_place")).drop(
+        "_class", "_bucket", "_order", "_held", "_before", "_place")
+
+
+def _stratum(table: DataFrame, task: str) -> Column:
+    return F.col("label") if S.TASKS[task]["kind"] == "classification" else F.lit(0.0)
 
 
 def split(table: DataFrame, task: str, fraction: float = S.TEST_FRACTION,
           seed: int = S.SEED) -> DataFrame:
-    """Adds ``is_test``: the rows with the lowest hash of their id, per class.
+    """Adds ``is_test``: of each class the first ``fraction`` of rows (rounded up) by a hash of the id.
 
-    The cut per class is a quantile of hash buckets, so the classes keep their shares, no task
-    ranks all rows, and a row stays on its side however the table is partitioned.
+    A row stays on its side however the table is partitioned.
     """
-    stratum = F.col("label") if S.TASKS[task]["kind"] == "classification" else F.lit(0.0)
-    hashed = table.withColumns({"_class": stratum, "_hash": _bucket(seed)})
-    cuts = quantiles(value_counts(hashed, ["_class"], "_hash"), ["_class"], "_hash",
-                     {"_cut": fraction}, HASH_BUCKETS / 1024)
-    return hashed.join(cuts, "_class").withColumn(
-        "is_test", F.col("_hash") <= F.col("_cut")).drop("_class", "_hash", "_cut")
+    return class_ranks(table, _stratum(table, task), seed).withColumn(
+        "is_test", F.col("_rank") <= F.ceil(F.col("_n") * F.lit(fraction))).drop("_rank", "_n")
 
 
-def folds(table: DataFrame, k: int, seed: int = S.SEED) -> DataFrame:
-    return table.withColumn("fold", _bucket(seed + 1, k).cast("int"))
+def folds(table: DataFrame, k: int, seed: int = S.SEED, task: str | None = None) -> DataFrame:
+    """Adds ``fold``; with a classification ``task``, every fold holds each class within one row."""
+    stratum = _stratum(table, task) if task else F.lit(0.0)
+    return class_ranks(table, stratum, seed + 1).withColumn(
+        "fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_n")
 
 
 def balanced_weights(table: DataFrame) -> DataFrame:
@@ -132,10 +155,10 @@ class ImportanceSelector(Estimator):
 
     @keyword_only
     def __init__(self, *, kind="classification", topK=S.TOP_FEATURES,
-                 numTrees=S.SELECTOR_TREES, maxDepth=8):
+                 numTrees=S.SELECTOR_TREES, maxDepth=S.SELECTOR_DEPTH):
         super().__init__()
         self._setDefault(kind="classification", topK=S.TOP_FEATURES,
-                         numTrees=S.SELECTOR_TREES, maxDepth=8)
+                         numTrees=S.SELECTOR_TREES, maxDepth=S.SELECTOR_DEPTH)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> VectorSlicer:

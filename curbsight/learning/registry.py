@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 RUN_SCHEMA = (
     "task string, created_at timestamp_ntz, path string, best_model string, params string, "
     "metrics map<string,double>, features array<string>, n_features int, threshold double, "
-    "cv_scores map<string,double>, n_train long, n_test long")
+    "cv_scores map<string,double>, n_train long, n_test long, "
+    "importances array<struct<feature:string,importance:double>>")
 
 
 class ModelRegistry:
@@ -25,7 +26,8 @@ class ModelRegistry:
         metrics = {k: float(v) for k, v in run["metrics"].items() if v is not None}
         row = (run["task"], now, path, run["best_model"], json.dumps(run["params"]), metrics,
                run["features"], len(run["features"]), float(run["threshold"]),
-               run["cv_scores"], run["n_train"], run["n_test"])
+               run["cv_scores"], run["n_train"], run["n_test"],
+               [tuple(i) for i in run["importances"]])
         self.spark.createDataFrame([row], RUN_SCHEMA).coalesce(1).write.mode("append").parquet(
             self.runs_path)
         return path

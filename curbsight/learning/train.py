@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextvars
 import itertools
 import random
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -20,26 +23,17 @@ from curbsight.learning.prepare import (ImportanceSelector, balanced_weights, fo
                                         preprocessing, split)
 
 TREE_MEMORY_MB = 1024
-# Search space: trees, depth and rows per leaf of forests; rounds, rate and depth of boosting.
-# Depth 30 is the deepest tree Spark grows and stands for "no limit".
-SEARCH_SPACE = {
-    ("random_forest", "classification"): {
-        "numTrees": [200, 400, 600], "maxDepth": [30, 8, 16, 24],
-        "minInstancesPerNode": [1, 2, 4]},
-    ("random_forest", "regression"): {
-        "numTrees": [200, 400, 600], "maxDepth": [30, 10, 20],
-        "minInstancesPerNode": [1, 2, 4]},
-    ("boosting", "classification"): {
-        "maxIter": [200, 400], "stepSize": [0.03, 0.06, 0.1], "maxDepth": [30, 6, 10]},
-    ("boosting", "regression"): {"maxIter": [200, 400], "stepSize": [0.03, 0.06, 0.1]},
-}
+# Fits of one run that go on side by side, and partitions of the table they share. A level of a forest
+# is one small job; its statistics of all open nodes are sent once per partition.
+PARALLEL_FITS = 4
+LEAST_PARTITIONS, ROWS_PER_PARTITION = 2, 1_000_000
 
 
 def estimator(family: str, task: str, **params):
     spec = S.TASKS[task]
     clf = spec["kind"] == "classification"
     shared = {"featuresCol": "features", "labelCol": "label", "seed": S.SEED,
-              "maxMemoryInMB": TREE_MEMORY_MB, "maxBins": 32}
+              "maxMemoryInMB": TREE_MEMORY_MB, "maxBins": 32, "cacheNodeIds": True}
     if family == "random_forest":
         if clf and spec["balanced"]:
             shared["weightCol"] = "weight"
@@ -62,7 +56,19 @@ def training_table(df: DataFrame, task: str) -> DataFrame:
     table = split(label_table(df, task), task)
     if S.TASKS[task]["kind"] == "classification":
         table = balanced_weights(table)
-    return cut(table)
+    return few_partitions(cut(table))
+
+
+def few_partitions(written: DataFrame) -> DataFrame:
+    """A written table with at most about ``ROWS_PER_PARTITION`` rows in each partition."""
+    return written.coalesce(max(LEAST_PARTITIONS, -(-written.count() // ROWS_PER_PARTITION)))
+
+
+def side_by_side(fits: list[Callable]) -> list:
+    """The results of ``fits``, of which ``PARALLEL_FITS`` run at a time."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        waiting = [pool.submit(contextvars.copy_context().run, fit) for fit in fits]
+        return [w.result() for w in waiting]
 
 
 def scored(model: PipelineModel, table: DataFrame, task: str) -> DataFrame:
@@ -74,12 +80,17 @@ def scored(model: PipelineModel, table: DataFrame, task: str) -> DataFrame:
     return out.select("id", F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
 
 
-def out_of_fold_threshold(pipe: Pipeline, train: DataFrame, task: str) -> float:
-    """The F1-best threshold of out-of-fold training scores."""
-    parts = cut(folds(train, S.THRESHOLD_FOLDS, S.SEED + 7))
+def fold_fits(pipe: Pipeline, train: DataFrame, task: str) -> tuple[DataFrame, list[Callable]]:
+    """The training rows with their fold, and a fit without each fold."""
+    parts = few_partitions(cut(folds(train, S.THRESHOLD_FOLDS, S.SEED + 7, task)))
+    return parts, [lambda i=i: pipe.fit(parts.filter(F.col("fold") != i))
+                   for i in range(S.THRESHOLD_FOLDS)]
+
+
+def out_of_fold_threshold(models: list[PipelineModel], parts: DataFrame, task: str) -> float:
+    """The F1-best threshold of out-of-fold training scores; model i has not seen fold i."""
     scores = None
-    for i in range(S.THRESHOLD_FOLDS):
-        model = pipe.fit(parts.filter(F.col("fold") != i))
+    for i, model in enumerate(models):
         part = scored(model, parts.filter(F.col("fold") == i), task)
         scores = part if scores is None else scores.unionByName(part)
     return float(M.optimal_threshold(cut(scores)).first()["threshold"])
@@ -96,7 +107,7 @@ def cv_scores(train: DataFrame, task: str, families: dict[str, dict],
               k: int = S.CV_FOLDS, selector: dict | None = None, parallelism: int = 2,
               select: bool = True) -> dict[str, float]:
     """Mean score over the folds per model family."""
-    parts = cut(folds(train, k))
+    parts = few_partitions(cut(folds(train, k, task=task)))
     out = {}
     for family, params in families.items():
         pipe = pipeline(family, task, train.columns, select, selector, **params)
@@ -111,7 +122,7 @@ def random_search(train: DataFrame, task: str, family: str, draws: int = S.SEARC
                   k: int = S.CV_FOLDS, space: dict | None = None, selector: dict | None = None,
                   parallelism: int = 2) -> tuple[dict, float, PipelineModel]:
     """Seeded draws from the search space; the best by cross-validation, refitted."""
-    space = space or SEARCH_SPACE[(family, S.TASKS[task]["kind"])]
+    space = space or S.SEARCH_SPACE[(family, S.TASKS[task]["kind"])]
     combos = [dict(zip(space, v)) for v in itertools.product(*space.values())]
     chosen = random.Random(S.SEED).sample(combos, min(draws, len(combos)))
     pipe = pipeline(family, task, train.columns, True, selector)
@@ -119,7 +130,7 @@ def random_search(train: DataFrame, task: str, family: str, draws: int = S.SEARC
     maps = [{model.getParam(p): v for p, v in c.items()} for c in chosen]
     search = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=_evaluator(task),
                             numFolds=k, foldCol="fold", parallelism=parallelism)
-    fitted = search.fit(cut(folds(train, k)))
+    fitted = search.fit(few_partitions(cut(folds(train, k, task=task))))
     scores = fitted.avgMetrics
     best = max(range(len(scores)), key=lambda i: scores[i])
     return chosen[best], float(scores[best]), fitted.bestModel
@@ -165,19 +176,23 @@ def train_task(df: DataFrame, task: str, fast: bool = True, families: dict | Non
     scores: dict[str, float] = {}
     if fast:
         family, params = "random_forest", dict(forest or S.FAST_FOREST)
-        pipe = pipeline(family, task, train.columns, False, **params)
-        model = pipe.fit(train)
+        pipe, model = pipeline(family, task, train.columns, False, **params), None
     else:
-        families = families or {"random_forest": {"numTrees": 100}, "boosting": {"maxIter": 100}}
+        families = families or S.COMPARED_FAMILIES
         scores = cv_scores(train, task, families, selector=selector)
         family = max(scores, key=scores.get)
         params, _, model = random_search(train, task, family, draws, selector=selector)
         pipe = pipeline(family, task, train.columns, True, selector, **params)
+    fits = [] if model else [lambda: pipe.fit(train)]
+    tuned = tune_threshold and spec["kind"] == "classification"
+    parts, more = fold_fits(pipe, train, task) if tuned else (None, [])
+    fitted = side_by_side([*fits, *more])
+    model = model or fitted[0]
     held = cut(scored(model, test, task))
     threshold = 0.5
     if spec["kind"] == "classification":
-        if tune_threshold:
-            threshold = out_of_fold_threshold(pipe, train, task)
+        if tuned:
+            threshold = out_of_fold_threshold(fitted[len(fits):], parts, task)
         result = M.clf_metrics(held, threshold)
     else:
         result = M.reg_metrics(held)
@@ -187,12 +202,15 @@ def train_task(df: DataFrame, task: str, fast: bool = True, families: dict | Non
         "threshold": threshold, "cv_scores": scores, "metrics": result.first().asDict(),
         "n_train": counts.get(False, 0), "n_test": counts.get(True, 0),
         "features": [c for c in train.columns if c not in ("id", "label", "weight")],
+        "importances": [tuple(r) for r in importances(model, df.sparkSession).collect()],
         "held_out": held,
     }
 
 
 def train_all(df: DataFrame, tasks: list[str] | None = None, **options) -> dict[str, dict]:
-    return {t: train_task(df, t, **options) for t in (tasks or list(S.TASKS))}
+    """All tasks side by side."""
+    tasks = tasks or list(S.TASKS)
+    return dict(zip(tasks, side_by_side([lambda t=t: train_task(df, t, **options) for t in tasks])))
 
 
 def evaluate_task(run: dict) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from curbsight.functions import columns as C
 from curbsight.functions.lineage import cut, new_table_path
 from curbsight.learning import metrics as M, prepare, scoring, train
 from curbsight.learning.registry import ModelRegistry
+from curbsight.learning.store import ModelStore
 from curbsight.operators import (analytics as A, cleaning as K, features as FE, fleet,
                                  forecasting as FC, hotspots as H, quality as Q,
                                  road_health as R)
@@ -52,11 +53,11 @@ def raw_of(spark, sf) -> DataFrame:
 
 
 def fast_runs(spark, sf, task_names=tuple(S.TASKS)) -> dict[str, dict]:
-    """Fast models of the folder's features, trained once per session."""
+    """Fast models of the folder's features, trained once per state of the features."""
     runs = _runs.setdefault((spark.sparkContext.applicationId, sf), {})
-    for task in task_names:
-        if task not in runs:
-            runs[task] = train.train_task(features_of(spark, sf), task)
+    missing = [t for t in task_names if t not in runs]
+    if missing:
+        runs |= ModelStore(spark).runs(features_of(spark, sf), missing)
     return {t: runs[t] for t in task_names}
 
 
@@ -96,7 +97,19 @@ def bad_lines(spark, sf):
 
 
 def ingest_manifest(spark, sf):
-    return files.ingest_manifest(spark, _csv_copy(spark, sf)).drop("loaded_at")
+    """Totals of the manifest over the incident log as text files; file names differ from run to run."""
+    found = files.ingest_manifest(spark, _csv_copy(spark, sf))
+    return found.agg(F.sum("n_rows").alias("n_rows"), F.max("n_cols").cast("long").alias("n_cols"),
+                     F.max(F.array_join("column_names", ",")).alias("columns"))
+
+
+def file_fingerprint(spark, sf):
+    """Fingerprint of the document texts written to one file, a line per text."""
+    path = new_table_path(spark, "lines")
+    words = F.translate("text", "\n\r", "  ")
+    spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", words.alias("line")).coalesce(
+        1).sortWithinPartitions("doc_id").select("line").write.option("lineSep", "\n").text(path)
+    return files.file_fingerprints(spark, path).select("sha256", "n_bytes")
 
 
 def scan_features(spark, sf):
@@ -453,6 +466,11 @@ def ml_split_counts(spark, sf):
     return table.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ml_folds(spark, sf):
+    table = prepare.folds(prepare.label_table(features_of(spark, sf), "closure"), S.CV_FOLDS, task="closure")
+    return table.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
 def ml_cv_scores(spark, sf):
     table = train.training_table(features_of(spark, sf), "closure")
     scores = train.cv_scores(
@@ -509,7 +527,9 @@ def model_runs_latest(spark, sf):
     for run in fast_runs(spark, sf).values():
         registry.log_run(run)
     return registry.latest().select(
-        "task", "best_model", "n_features", "n_train", "n_test", "threshold")
+        "task", "best_model", "n_features", "n_train", "n_test", "threshold",
+        F.size("importances").alias("n_importances"),
+        F.col("importances")[0]["feature"].alias("top_feature"))
 
 
 def _requests(spark, sf):
@@ -613,31 +633,41 @@ def _slices(spark, sf) -> tuple[str, object]:
 def stream_dedupe(spark, sf):
     path, schema = _slices(spark, sf)
     cleaned = ST.clean_stream(ST.read_slices(spark, path, schema), as_of_column())
-    unique = ST.dedupe_stream(cleaned).select(
-        "latitude", "longitude", "start_datetime", "event_cause")
-    return ST.run_to_end(unique, new_table_path(spark, "out"), new_table_path(spark, "state"))
+    unique = ST.dedupe_stream(cleaned).select(*S.DEDUPE_KEY, "id")
+    return ST.run_to_end(unique, new_table_path(spark, "out"), new_table_path(spark, "state"), S.DEDUPE_KEY)
 
 
 def stream_daily_counts(spark, sf):
     path, schema = _slices(spark, sf)
     cleaned = ST.clean_stream(ST.read_slices(spark, path, schema), as_of_column())
-    return ST.run_to_end(ST.daily_counts_stream(cleaned, "event_cause"),
-                         new_table_path(spark, "out"), new_table_path(spark, "state"))
+    return ST.run_to_end(ST.daily_counts_stream(cleaned, "event_cause"), new_table_path(spark, "out"),
+                         new_table_path(spark, "state"), ["date", "event_cause"])
+
+
+def _streamed_requests(spark, sf, runs) -> tuple[DataFrame, DataFrame]:
+    """Scored and quarantined requests of a stream of all requests."""
+    path, known = new_table_path(spark, "requests"), features_of(spark, sf)
+    requests = _requests(spark, sf)
+    requests.repartition(4).write.parquet(path)
+    scored, quarantine = new_table_path(spark, "scored"), new_table_path(spark, "quarantine")
+    ST.score_requests(
+        ST.read_slices(spark, path, requests.schema, files_per_batch=2),
+        lambda: (scoring.corridor_loads(known), scoring.cell_counts(known)), runs, scored, quarantine,
+        new_table_path(spark, "state")).awaitTermination()
+    return spark.read.parquet(scored), spark.read.parquet(quarantine)
+
+
+def stream_quarantine(spark, sf):
+    return _streamed_requests(spark, sf, {})[1].select("id", "reason")
 
 
 def stream_score(spark, sf):
-    path, schema = _slices(spark, sf)
-    known = features_of(spark, sf)
-    runs = fast_runs(spark, sf, ("closure",))
-    loads, cells = cut(scoring.corridor_loads(known)), cut(scoring.cell_counts(known))
-    scored = ST.score_stream(
-        ST.read_slices(spark, path, schema), as_of_column(), loads, cells, runs).select(
-        "id", "closure_proba", "closure_label")
-    return ST.run_to_end(scored, new_table_path(spark, "out"), new_table_path(spark, "state"))
+    return _streamed_requests(spark, sf, fast_runs(spark, sf))[0].select(
+        "id", "priority_label", "priority_proba", "closure_label", "closure_proba", "resolution_pred")
 
 
 QUERIES = {f.__name__: f for f in (
-    ingest_raw, na_tokens, bad_lines, ingest_manifest, scan_features, json_records,
+    ingest_raw, na_tokens, bad_lines, ingest_manifest, file_fingerprint, scan_features, json_records,
     hotspot_geojson, dq_checks, dq_domain_top5, dq_summary, dq_severity_counts, completeness,
     drop_dead_columns, coerce_types, fix_geo, fix_temporal, resolution_hours,
     normalise_categoricals, impute_fills, spatial_impute, dedupe, clean, temporal_features,
@@ -648,12 +678,12 @@ QUERIES = {f.__name__: f for f in (
     kmeans_zones, daily_series, forecast_scopes, supervised_frame, backtest_split,
     forecast_naive, forecast_ets, forecast_gbt, forecast_metrics, forecasts, forecast_summary,
     forecast_by_scope, zone_signals, zone_demand, resource_allocation, allocation_long,
-    allocation_totals, ml_label_table, ml_split_counts, ml_cv_scores, ml_fast_train,
+    allocation_totals, ml_label_table, ml_split_counts, ml_folds, ml_cv_scores, ml_fast_train,
     optimal_threshold, clf_metrics, reg_metrics, confusion_matrix, class_report, roc_curve,
     pr_curve, residual_stats, feature_importance, model_runs_latest, validate_requests,
     enrich_requests, score_incidents, score_responses, what_if_scenarios, filtered_events,
     selection_size, kpi_overview, rhi_category_counts, rhi_worst, points_lost_long, map_sample,
-    stream_dedupe, stream_daily_counts, stream_score)}
+    stream_dedupe, stream_daily_counts, stream_quarantine, stream_score)}
 QUERIES.update({
     "filter_options": _over_features(A.filter_options),
     "kpi_stats": _over_features(A.kpi_stats),

@@ -715,7 +715,33 @@ def statements() -> dict[str, str]:
         f"SELECT segment, '{c}' AS cause, points_lost_{c} AS points_lost FROM zone_health" for c in CAUSES), "zone_health")
     # streams
     q["stream_dedupe"] = chain(
-        "SELECT DISTINCT latitude, longitude, start_datetime, event_cause FROM prep", "prep")
+        "SELECT latitude, longitude, start_datetime, event_cause, min_by(id, ordinal) AS id FROM prep GROUP BY ALL", "prep")
+    q["stream_daily_counts"] = chain(
+        "SELECT CAST(start_datetime + INTERVAL 330 MINUTE AS DATE) AS date, event_cause, count(*) AS n FROM prep GROUP BY ALL", "prep")
+    q["stream_quarantine"] = chain("SELECT id, reason FROM judged WHERE reason <> ''", "judged")
+    # files
+    q["ingest_manifest"] = chain(
+        "SELECT count(*) AS n_rows, CAST(16 AS BIGINT) AS n_cols, 'id,event_type,event_cause,priority,"
+        "requires_road_closure,status,veh_type,corridor,zone,latitude,longitude,endlatitude,endlongitude,"
+        "start_datetime,end_datetime,closed_datetime' AS columns FROM raw", "raw")
+    word = ", ".join(
+        f"sum(CAST('0x' || substr(h, {1 + i * 15}, 15) AS BIGINT)) AS w{i}" for i in range(4))
+    q["file_fingerprint"] = f"""
+WITH t AS (
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, translate(text, chr(10) || chr(13), '  ') AS line FROM documents),
+h AS (SELECT sha256(i || ':' || line) AS h, octet_length(encode(line)) + 1 AS n FROM t),
+s AS (SELECT count(*) AS lines, CAST(sum(n) AS BIGINT) AS n_bytes, {word} FROM h)
+SELECT sha256(lines || '|' || n_bytes || '|' || w0 || ',' || w1 || ',' || w2 || ',' || w3) AS sha256, n_bytes FROM s"""
+    # model tables
+    label = "CAST(lower(CAST(requires_road_closure AS VARCHAR)) = 'true' AS DOUBLE)"
+    q["ml_split_counts"] = chain(
+        "SELECT label, rank <= ceil(n * 0.2::DOUBLE) AS is_test, count(*) AS n FROM (SELECT label, count(*) OVER (PARTITION BY"
+        " label) AS n, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id), id) AS rank FROM ("
+        f"SELECT id, {label} AS label FROM feats WHERE requires_road_closure IS NOT NULL)) GROUP BY ALL", "feats")
+    q["ml_folds"] = chain(
+        "SELECT label, (rank - 1) % 5 AS fold, count(*) AS n, min(id) AS first_id FROM (SELECT id, label,"
+        " row_number() OVER (PARTITION BY label ORDER BY md5('43:' || id), id) AS rank FROM ("
+        f"SELECT id, {label} AS label FROM feats WHERE requires_road_closure IS NOT NULL)) GROUP BY ALL", "feats")
     return q
 
 

@@ -155,6 +155,29 @@ TOP_FEATURES = 25
 RARE_LEVEL_ROWS = 10
 SELECTOR_TREES = 200
 FAST_FOREST = {"numTrees": 120, "maxDepth": 16}
+# The deepest tree Spark grows stands for "no limit"; a depth of 5 for 31 leaves.
+NO_LIMIT, LEAVES_31 = 30, 5
+SELECTOR_DEPTH = NO_LIMIT
+COMPARED_FAMILIES = {
+    "random_forest": {"numTrees": 100, "maxDepth": NO_LIMIT},
+    "boosting": {"maxIter": 100, "maxDepth": LEAVES_31},
+}
+# Search space: trees, depth, rows per leaf and feature share of forests; rounds, rate and depth
+# of boosting.
+SEARCH_SPACE = {
+    ("random_forest", "classification"): {
+        "numTrees": [200, 400, 600], "maxDepth": [NO_LIMIT, 8, 16, 24],
+        "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2", "0.5"]},
+    ("random_forest", "regression"): {
+        "numTrees": [200, 400, 600], "maxDepth": [NO_LIMIT, 10, 20],
+        "minInstancesPerNode": [1, 2, 4]},
+    ("boosting", "classification"): {
+        "maxIter": [200, 400], "stepSize": [0.03, 0.06, 0.1], "maxDepth": [LEAVES_31, 6, 10]},
+    ("boosting", "regression"): {"maxIter": [200, 400], "stepSize": [0.03, 0.06, 0.1]},
+}
+# What a stored model depends on besides its rows and options.
+TRAINING_SETTINGS = ("TEST_FRACTION", "CV_FOLDS", "THRESHOLD_FOLDS", "SEARCH_DRAWS", "TOP_FEATURES",
+                     "RARE_LEVEL_ROWS", "SELECTOR_TREES", "SELECTOR_DEPTH", "FAST_FOREST", "SEED")
 
 # -- scoring requests ------------------------------------------------------------------
 REQUEST_DEFAULTS = {

@@ -3,21 +3,15 @@
 from curbsight.plans import catalog
 
 
-def test_models_are_trained_with_the_defaults(monkeypatch):
-    seen = []
-
-    class Context:
-        applicationId = "test"
-
-    class Session:
-        sparkContext = Context()
-
-    monkeypatch.setattr(catalog, "_runs", {})
-    monkeypatch.setattr(catalog, "features_of", lambda spark, sf: "features")
-    monkeypatch.setattr(catalog.train, "train_task",
-                        lambda df, task, **options: seen.append((task, options)) or {})
-    catalog.fast_runs(Session(), "folder")
-    assert seen == [(task, {}) for task in catalog.S.TASKS]
+def test_models_are_trained_with_the_defaults(spark, sf):
+    """A real run of one task: forest size, depth limit and tuned threshold of the fast mode."""
+    run = catalog.fast_runs(spark, sf, ("closure",))["closure"]
+    forest = run["model"].stages[-1]
+    assert forest.getNumTrees == 120 and 10 <= max(t.depth for t in forest.trees) <= 16
+    assert run["params"] == catalog.S.FAST_FOREST and run["threshold"] != 0.5
+    assert run["n_test"] == run["held_out"].count() > 0
+    top = catalog.feature_importance(spark, sf).first()
+    assert tuple(run["importances"][0]) == (top.feature, top.importance)
 
 
 def test_boosted_forecast_has_the_default_rounds(monkeypatch):

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 import parity
 from curbsight import settings as S
-from curbsight.functions.lineage import cut, new_table_path
+from curbsight.functions import storage
+from curbsight.functions.lineage import cut, new_table_path, scratch
 from curbsight.learning import prepare, scoring, train
 from curbsight.learning.registry import ModelRegistry
+from curbsight.learning.store import ModelStore
 from curbsight.operators import cleaning
 from curbsight.plans import catalog, oracles
 from curbsight.plans.job import IncidentJob
@@ -28,7 +30,7 @@ def test_dirty_csv(spark, tmp_path):
         ("1", "x\ny", 'say "hi"'), ("2", "short", None), ("4", None, None), ("5", None, None)]
     manifest = files.ingest_manifest(spark, str(path), multi_line=True).first()
     assert (manifest.n_rows, manifest.n_cols, manifest.source_file) == (4, 3, "in.csv")
-    assert len(manifest.sha256) == 64
+    assert len(manifest.sha256) == 64 and manifest.n_bytes == path.stat().st_size
     with pytest.raises(Exception):
         files.ingest(spark, str(tmp_path / "missing.csv"))
 
@@ -104,18 +106,69 @@ def test_requests_out_of_range_are_kept_apart(spark):
     assert got == {"a": "", "b": "hour out of range", "c": "event_cause missing", "d": ""}
 
 
+def test_other_header_is_refused(spark, tmp_path):
+    for name, header in (("a", "id,x,y"), ("b", "id,y,x")):
+        (tmp_path / f"{name}.csv").write_text(f"{header}\n{name}1,2,3\n{name}2,3,4\n")
+    with pytest.raises(ValueError, match="header differs"):
+        files.ingest(spark, str(tmp_path))
+
+
+def test_fingerprint_is_that_of_the_bytes_however_they_are_split(spark, tmp_path):
+    lines = [f"{i},{'x' * (i % 90)}" for i in range(5000)]
+
+    def prints(name, text):
+        (tmp_path / name).write_bytes(text.encode())
+        return files.file_fingerprints(spark, str(tmp_path / name)).first()
+
+    whole = prints("a.csv", "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() > 5
+        assert prints("b.csv", "\n".join(lines) + "\n").sha256 == whole.sha256
+        changed = ["\n".join(lines), "\n".join([lines[1], lines[0], *lines[2:]]) + "\n",
+                   "\n".join([*lines[:-1], lines[-1] + "x"]) + "\n", "\r\n".join(lines) + "\n"]
+        digests = {prints(f"c{i}.csv", text).sha256 for i, text in enumerate(changed)}
+        assert len(digests | {whole.sha256}) == len(changed) + 1
+        assert prints("empty.csv", "") is None  # Spark does not list files without content
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_streams_equal_batch(spark, sf):
     raw = catalog.raw_of(spark, sf)
-    want = cleaning.prepare(raw, as_of_column()).select(*S.DEDUPE_KEY).distinct()
+    prepared = cleaning.prepare(raw, as_of_column())
+    want = prepared.groupBy(*S.DEDUPE_KEY).agg(F.min_by("id", "ordinal").alias("id"))
     got = catalog.stream_dedupe(spark, sf)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
     days = catalog.stream_daily_counts(spark, sf)
-    batch = cleaning.prepare(raw, as_of_column()).groupBy(
+    batch = prepared.groupBy(
         F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(S.LOCAL_ZONE), "start_datetime")).alias("date"),
         "event_cause").agg(F.count(F.lit(1)).alias("n"))
-    closed = days.agg(F.max("date")).first()[0]
-    assert days.exceptAll(batch).count() == 0
-    assert batch.filter(F.col("date") <= F.lit(closed)).count() == days.count()
+    assert days.exceptAll(batch).count() == 0 and days.count() == batch.count()
+    assert days.agg(F.sum("n")).first()[0] == raw.count()
+
+
+def test_earlier_report_replaces_a_later_one(spark):
+    schema = "latitude double, longitude double, start_datetime timestamp_ntz, event_cause string, ordinal long, id string"
+    path, out, state = (new_table_path(spark, n) for n in ("reports", "out", "state"))
+    spec = spark.createDataFrame([], schema).schema
+    for ordinal in (7, 3, 5):
+        spark.sql(f"SELECT 1D AS latitude, 1D AS longitude, timestamp_ntz'2024-01-10 00:00:00' AS start_datetime,"
+                  f" 'a' AS event_cause, {ordinal}L AS ordinal, 'r{ordinal}' AS id").write.mode("append").parquet(path)
+        stream = ST.dedupe_stream(ST.read_slices(spark, path, spec))
+        result = ST.run_to_end(stream, out, state, S.DEDUPE_KEY)
+    assert [(r.id, r.ordinal) for r in result.collect()] == [("r3", 3)]
+
+
+def test_stream_and_batch_score_alike(spark, sf):
+    run = train.train_task(catalog.features_of(spark, sf), "closure", forest={"numTrees": 4, "maxDepth": 3})
+    scored, rejected = catalog._streamed_requests(spark, sf, {"closure": run})
+    batch = scoring.score(catalog._enriched(spark, sf), {"closure": run}).select("id", "closure_proba")
+    got = scored.select("id", "closure_proba")
+    assert got.count() == batch.count() and got.exceptAll(batch).count() == 0
+    assert rejected.count() + got.count() == catalog._requests(spark, sf).count()
+    assert rejected.filter("reason = ''").count() == 0
 
 
 def test_late_rows_are_dropped(spark):
@@ -155,6 +208,76 @@ def test_second_run_follows_new_features(spark, sf, tmp_path):
         assert series.agg(F.sum("y")).first()[0] == features.count()
 
 
+def test_tables_follow_their_sources_and_failed_builds_change_nothing(spark, tmp_path, monkeypatch):
+    rows = catalog.raw_of(spark, sf=parity_folder())
+    half = rows.filter("ordinal % 4 < 2")
+    state = {"raw": half, "version": "1"}
+    root = str(tmp_path / "job")
+    job = IncidentJob(spark, root, lambda: state["raw"], as_of_column(), source_version=lambda: state["version"])
+    first = job.table("clean").count()
+    assert job.current("clean") and job.table("clean").count() == first
+    kept = job.version("clean")
+    state.update(raw=rows, version="2")
+    assert not job.current("clean")
+    monkeypatch.setattr(cleaning, "clean", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        job.table("clean")
+    assert job.version("clean") == kept and spark.read.parquet(job.path("clean")).count() == first
+    monkeypatch.undo()
+    assert job.table("clean").count() > first and job.version("clean") != kept
+
+
+def parity_folder():
+    import conftest
+
+    return conftest.SF
+
+
+def test_scratch_deletes_its_tables_also_after_an_error(spark):
+    seen = []
+
+    def write():
+        path = new_table_path(spark, "gone")
+        spark.range(3).write.parquet(path)
+        seen.append(path)
+
+    with scratch(spark):
+        write()
+        with pytest.raises(ZeroDivisionError), scratch(spark):
+            write()
+            raise ZeroDivisionError
+        assert storage.exists(spark, seen[0]) and not storage.exists(spark, seen[1])
+    assert not storage.exists(spark, seen[0])
+
+
+def test_model_store_trains_once(spark, sf, tmp_path, monkeypatch):
+    known = catalog.features_of(spark, sf)
+    store = ModelStore(spark, str(tmp_path / "trained"))
+    options = {"forest": {"numTrees": 3, "maxDepth": 3}}
+    one = store.run(known, "closure", **options)
+    monkeypatch.setattr(train, "train_task", lambda *a, **o: 1 / 0)
+    two = store.run(known.repartition(3), "closure", **options)
+    assert one["metrics"] == two["metrics"] and two["threshold"] == one["threshold"]
+    assert two["importances"] and two["held_out"].count() == two["n_test"]
+    with pytest.raises(ZeroDivisionError):
+        store.run(known.filter("ordinal > 10"), "closure", **options)
+    with pytest.raises(ZeroDivisionError):
+        store.run(known, "closure", forest={"numTrees": 4, "maxDepth": 3})
+    monkeypatch.setattr("curbsight.learning.store.code_version", lambda: "other code")
+    with pytest.raises(ZeroDivisionError):
+        store.run(known, "closure", **options)
+    assert sorted(os.listdir(tmp_path / "trained")) == sorted(
+        p for p in os.listdir(tmp_path / "trained") if p.startswith("closure-"))
+
+
+def test_folds_hold_every_class_within_one_row(spark, sf):
+    table = prepare.label_table(catalog.features_of(spark, sf), "closure")
+    counts = prepare.folds(table.repartition(5), 5, task="closure").groupBy("label", "fold").count().collect()
+    for label in (0.0, 1.0):
+        own = [r["count"] for r in counts if r.label == label]
+        assert len(own) == 5 and max(own) - min(own) <= 1
+
+
 def test_inner_tables_are_built_with_their_stage(spark, monkeypatch):
     built = []
     monkeypatch.setattr(IncidentJob, "build", lambda self, name: built.append(name))
