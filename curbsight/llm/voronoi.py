@@ -65,8 +65,7 @@ class Space:
 
     def __init__(self, pivots: np.ndarray, longest: float):
         self.p, self.longest = pivots, longest
-        self.size = (pivots ** 2).sum(1)
-        self.extra = np.sqrt(np.maximum(longest - self.size, 0))
+        self.extra = np.sqrt(np.maximum(longest - (pivots ** 2).sum(1), 0))
         self.slack = ROOM * (1 + math.sqrt(longest))
 
     @cached_property
@@ -77,9 +76,9 @@ class Space:
         return {k: v for k, v in self.__dict__.items() if k != "between"}
 
     def of_data(self, x: np.ndarray) -> np.ndarray:
-        size = (x ** 2).sum(1)
-        extra = np.sqrt(np.maximum(self.longest - size, 0))
-        return np.sqrt(np.maximum(size[:, None] + self.size[None, :] - 2 * (
+        extra = np.sqrt(np.maximum(self.longest - (x ** 2).sum(1), 0))
+        # With the added coordinate every data vector, pivots too, has the squared length ``longest``.
+        return np.sqrt(np.maximum(2 * self.longest - 2 * (
             x @ self.p.T + extra[:, None] * self.extra[None, :]), 0))
 
     def of_queries(self, q: np.ndarray) -> np.ndarray:
