@@ -64,32 +64,41 @@ class ByteEncoder:
 
 
 class WordEncoder:
-    """BPE within words. Remembers the ids of pieces it has seen; forgets all when full."""
+    """BPE within words. Remembers the ids of blank-separated words it has seen; forgets all when full.
+
+    No piece of the vocabulary's pattern holds white space, so a word's ids do not depend on the
+    words around it, and only unseen words are taken apart.
+    """
 
     def __init__(self, path: str):
         self.slow = _tokenizer(path)
         self.memo: dict[str, bytes] = {}
 
+    def _learn(self, words: list[str]) -> None:
+        pieces = [WORD_PIECES.findall(w) for w in words]
+        distinct = list({p for own in pieces for p in own})
+        ids = {p: np.asarray(e.ids, dtype="<u4").tobytes() for p, e in zip(
+            distinct, self.slow.encode_batch(distinct, add_special_tokens=False))}
+        for word, own in zip(words, pieces):
+            self.memo[word] = b"".join([ids[p] for p in own])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split: list[list[str] | None] = []
         unseen: set[str] = set()
         for text in texts:
-            if (not text.isascii() and UNUSUAL.search(text)) or "<|" in text or (
-                    text.isascii() and UNUSUAL.search(text)):
+            if UNUSUAL.search(text) or "<|" in text:
                 split.append(None)
                 continue
-            pieces = WORD_PIECES.findall(text.lower())
-            unseen.update(pieces)
-            split.append(pieces)
+            words = text.lower().split()
+            unseen.update(words)
+            split.append(words)
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        new = list(unseen.difference(self.memo))
-        for piece, enc in zip(new, self.slow.encode_batch(new, add_special_tokens=False)):
-            self.memo[piece] = np.asarray(enc.ids, dtype="<u4").tobytes()
+        self._learn(list(unseen.difference(self.memo)))
         found = self.memo.__getitem__
         return [np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
-                if pieces is None else np.frombuffer(b"".join(map(found, pieces)), dtype="<u4")
-                for text, pieces in zip(texts, split)]
+                if words is None else np.frombuffer(b"".join(map(found, words)), dtype="<u4")
+                for text, words in zip(texts, split)]
 
 
 def encoder(kind: str, *paths: str):
