@@ -346,4 +346,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def digests(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans",
-                       F.sha2("kept", 256).alias("kept_sha256"))
+                       F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"))
