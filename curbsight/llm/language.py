@@ -17,7 +17,8 @@ from curbsight.llm.common import fold_of, in_tasks, portions, record_batch
 HELD_OUT_FOLDS, HELD_OUT = 4, 2
 BUCKET_BITS = 14
 SMOOTHING = 0.5
-ROUNDS = 12
+# Expectation-maximisation ends when no proportion moves by more; so many rounds are an error.
+STILL, MOST_ROUNDS = 1e-4, 100_000
 # Charge per language, in units of half the logarithm of the number of trigrams.
 CHARGE = 2.0
 UNKNOWN = "und"
@@ -29,11 +30,11 @@ _letters: dict[str, np.ndarray] = {}
 
 
 def is_letter(points: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter; the table of all of them is made once per process."""
     if "table" not in _letters:
         _letters["table"] = np.fromiter(
-            (chr(i).isalpha() for i in range(1 << 16)), dtype=bool, count=1 << 16)
-    return np.where(points < 1 << 16, _letters["table"][np.minimum(points, (1 << 16) - 1)],
-                    points >= 0x20000)
+            (chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+    return _letters["table"][points]
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -84,10 +85,12 @@ def _mixture(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions by expectation-maximisation, and the log likelihood they reach."""
     mix = np.full(p.shape[1], 1 / p.shape[1])
     total = n.sum()
-    for _ in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         joint = p * mix
-        mix = (n / joint.sum(1)) @ joint / total
-    return mix, float(n @ np.log((p * mix).sum(1) + 1e-300))
+        before, mix = mix, (n / joint.sum(1)) @ joint / total
+        if np.abs(mix - before).max() < STILL:
+            return mix, float(n @ np.log((p * mix).sum(1) + 1e-300))
+    raise RuntimeError("the language mixture of a document does not settle")
 
 
 def train(docs: DataFrame) -> Languages | None:
