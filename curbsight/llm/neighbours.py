@@ -5,8 +5,8 @@ linked by the triangle inequality, and a group of thousands of near copies is a
 neighbour graph over the leaders starts from random-hyperplane buckets and is refined by
 NN-descent: neighbours of a leader are compared with each other, and each keeps its best. A list
 whose entries are all within reach may hide more; it is enlarged and refined again. The recall is
-audited against brute force for a fixed number of leaders. While it is low, the tables are doubled;
-where they would cost as much as comparing all leaders in blocks, that is done instead.
+audited against brute force for a fixed number of leaders, or, where these have too few neighbours to
+tell, by pairs planted at the angle of a link. While it is low, the tables are doubled; where they would cost as much as comparing all leaders in blocks, that is done instead.
 
 Edges between balls are settled by bounds where the angles allow it, and by comparing their
 members in blocks where not. Counts are added up per vector; pairs of vectors are never written.
@@ -34,6 +34,8 @@ ROUNDS = 4
 # The loop ends when fewer than this share of the list entries are new.
 STILL = 0.002
 AUDIT, ENOUGH = 512, 0.99
+# With fewer true neighbours a sample of leaders measures nothing.
+SEEN = 200
 BLOCK = 1024
 
 
@@ -291,10 +293,11 @@ def refined(lists: DataFrame, leaders: DataFrame, limits: DataFrame | None, k: i
                 "lists")
 
 
-def audit(lists: DataFrame, leaders: DataFrame, queries: int) -> float:
+def audit(lists: DataFrame, leaders: DataFrame, queries: int) -> float | None:
     """Share of the neighbours within reach that the lists have, for a fixed number of leaders.
 
-    The queries, at most ``queries`` vectors, are held by every task; all leaders meet them.
+    The queries, at most ``queries`` vectors, are held by every task; all leaders meet them. None
+    if these are a sample that has too few neighbours to tell.
     """
     chosen = leaders.select("ball", "v", "radius").orderBy(
         F.xxhash64("ball", F.lit(17)), "ball").limit(queries).collect()
@@ -329,25 +332,62 @@ def audit(lists: DataFrame, leaders: DataFrame, queries: int) -> float:
     known = lists.select("u", "w").unionByName(
         lists.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct()
     total = truth.count()
+    if total < SEEN and len(chosen) == queries:
+        return None
     return truth.join(known, ["u", "w"], "left_semi").count() / total if total else 1.0
 
 
+def planted_recall(leaders: DataFrame, count: int, seeds: list[int], k: int, fan: int,
+                   pairs: int) -> float:
+    """Share of planted pairs that the tables of ``seeds`` bring together.
+
+    A vector at the angle of a link, the widest a pair can have, is planted beside each of at most
+    ``pairs`` leaders. Refinement can only add to what the tables find.
+    """
+    chosen = leaders.select("ball", "v").orderBy(F.xxhash64("ball", F.lit(19)), "ball").limit(pairs).collect()
+    top = leaders.agg(F.max("ball")).first()[0]
+    rows, rng = [], np.random.default_rng(31)
+    for i, r in enumerate(chosen, 1):
+        v = np.frombuffer(r["v"])
+        if len(v) < 2:
+            continue
+        side = rng.normal(size=len(v))
+        side -= (side @ v) * v
+        w = LINK * v + math.sin(REACH) * side / np.linalg.norm(side)
+        rows.append((top + i, r["ball"], bytearray(w.tobytes())))
+    if not rows:
+        return 1.0
+    planted = leaders.sparkSession.createDataFrame(rows, "planted long, ball long, v binary")
+    both = kept(leaders.select("ball", "v").unionByName(planted.select(F.col("planted").alias("ball"), "v")),
+                "planted-leaders")
+    wanted = planted.select(F.col("ball").alias("u"), F.col("planted").alias("w"))
+    wanted = wanted.unionByName(wanted.select(F.col("w").alias("u"), F.col("u").alias("w")))
+    met = None
+    for seed in seeds:
+        part = first_lists(both, count, seed, k, fan).select("u", "w").join(wanted, ["u", "w"], "left_semi")
+        met = part if met is None else met.unionByName(part)
+    return met.select(F.greatest("u", "w")).distinct().count() / len(rows)
+
+
 def neighbour_graph(leaders: DataFrame, count: int, k: int = NEIGHBOURS) -> DataFrame:
     """(u, w, cosine, fresh): lists that hold what is within reach, as far as the audit can tell."""
     fan = max(12, int(leaders.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lists, limits = kept(_best(first_lists(leaders, count, 23, k, fan), None, k), "lists"), None
-    searched, seed = TABLES, 101
+    seeds, seed = [23], 101
     while True:
         lists, limits = _settled(lists, leaders, limits, k, fan)
-        if audit(lists, leaders, AUDIT) >= ENOUGH:
+        recall = audit(lists, leaders, AUDIT)
+        if recall is None:
+            recall = planted_recall(leaders, count, seeds, k, fan, AUDIT)
+        if recall >= ENOUGH:
             return lists
-        if searched * BLOCK >= count:
+        if len(seeds) * TABLES * BLOCK >= count:
             return compared(leaders, count)
-        for _ in range(searched // TABLES):
+        for _ in range(len(seeds)):
             lists = kept(_best(lists.unionByName(
                 first_lists(leaders, count, seed, k, fan)), limits, k), "lists")
+            seeds.append(seed)
             seed += 1
-        searched *= 2
 
 
 def _settled(lists: DataFrame, leaders: DataFrame, limits: DataFrame | None, k: int,
