@@ -64,23 +64,27 @@ class ByteEncoder:
 
 
 class WordEncoder:
-    """BPE within words. Remembers the ids of blank-separated words it has seen; forgets all when full.
+    """BPE within words. Remembers the ids of blank-separated words and of their pieces, up to a bound.
 
     No piece of the vocabulary's pattern holds white space, so a word's ids do not depend on the
-    words around it, and only unseen words are taken apart.
+    words around it. Only unseen words are taken apart, and only unseen pieces are tokenized.
     """
 
     def __init__(self, path: str):
         self.slow = _tokenizer(path)
         self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        pieces = [WORD_PIECES.findall(w) for w in words]
-        distinct = list({p for own in pieces for p in own})
-        ids = {p: np.asarray(e.ids, dtype="<u4").tobytes() for p, e in zip(
-            distinct, self.slow.encode_batch(distinct, add_special_tokens=False))}
-        for word, own in zip(words, pieces):
-            self.memo[word] = b"".join([ids[p] for p in own])
+        split = [WORD_PIECES.findall(w) for w in words]
+        if len(self.pieces) > MEMO_ENTRIES:
+            self.pieces.clear()
+        unseen = list({p for own in split for p in own}.difference(self.pieces))
+        for piece, made in zip(unseen, self.slow.encode_batch(unseen, add_special_tokens=False)):
+            self.pieces[piece] = np.asarray(made.ids, dtype="<u4").tobytes()
+        found = self.pieces.__getitem__
+        for word, own in zip(words, split):
+            self.memo[word] = b"".join(map(found, own))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split: list[list[str] | None] = []
