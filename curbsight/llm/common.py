@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from curbsight.functions.lineage import new_table_path
+from curbsight.functions.lineage import new_table_path, scratch
 
 PACKAGE_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 LOWEST = -(1 << 63)
@@ -27,6 +27,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what ``build`` returns and read it back; tables written on the way there are deleted.
+
+    Later reads need the written table only, so a lost executor costs no more than with the others kept.
+    """
+    path = new_table_path(spark, name)
+    with scratch(spark):
+        df = build()
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def packed(docs: DataFrame, *used: str) -> DataFrame:
     """The columns ``used``, and all others inside one struct, where no name can clash."""
     others = [c for c in docs.columns if c not in used]

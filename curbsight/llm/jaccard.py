@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curbsight.functions.lineage import cut
-from curbsight.llm.common import (LOWEST, Rolling, in_tasks, kept, mixed, packed, portions,
+from curbsight.llm.common import (LOWEST, Rolling, finished, in_tasks, kept, mixed, packed, portions,
                                   record_batch, unpacked)
 from curbsight.operators.components import components
 
@@ -323,8 +323,8 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> Da
 
     x = held.select(F.col("sid").alias("x"), F.col("tokens").alias("tokens_x"))
     y = held.select(F.col("sid").alias("y"), F.col("tokens").alias("tokens_y"))
-    return kept(in_tasks(near.join(x, "x").join(y, "y").select(
-        "x", "y", "tokens_x", "tokens_y"), similar, "x binary, y binary"), "links")
+    return in_tasks(near.join(x, "x").join(y, "y").select(
+        "x", "y", "tokens_x", "tokens_y"), similar, "x binary, y binary")
 
 
 def _classes(links: DataFrame) -> DataFrame:
@@ -340,17 +340,19 @@ def _across_classes(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> Da
     The members of a list's largest class meet only its other members. Every differing bit of two
     brief maps is a token of one set only; pairs that differ in too many are not written.
     """
-    own = lists.join(classes, "sid", "left").withColumn("class", F.coalesce("class", "sid"))
-    own = kept(own, "class-lists")
-    held = own.groupBy("token", "class").agg(F.count(F.lit(1)).alias("n"))
-    main = kept(held.groupBy("token").agg(
-        F.max_by("class", F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("k"))
-        .filter("k > 1").drop("k"), "main-classes")
-    open_ = own.join(main, "token").withColumn("rest", F.col("class") != F.col("main"))
-    block = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(OF / SHARED)) + 1e-9)
-    open_ = kept(open_.select("token", "sid", "class", "size", "pos", "rest",
-                              block.cast("int").alias("block")).join(
-        sets.select("sid", "brief"), "sid"), "open-lists")
+    def open_lists() -> DataFrame:
+        own = lists.join(classes, "sid", "left").withColumn("class", F.coalesce("class", "sid"))
+        own = kept(own, "class-lists")
+        held = own.groupBy("token", "class").agg(F.count(F.lit(1)).alias("n"))
+        main = kept(held.groupBy("token").agg(
+            F.max_by("class", F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("k"))
+            .filter("k > 1").drop("k"), "main-classes")
+        rows = own.join(main, "token").withColumn("rest", F.col("class") != F.col("main"))
+        block = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(OF / SHARED)) + 1e-9)
+        return rows.select("token", "sid", "class", "size", "pos", "rest", block.cast("int").alias("block")).join(
+            sets.select("sid", "brief"), "sid")
+
+    open_ = finished(lists.sparkSession, open_lists, "open-lists")
     left = open_.filter("rest").select(
         "token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
         .alias("block"), F.col("sid").alias("sid_l"), F.col("class").alias("class_l"),
@@ -383,18 +385,23 @@ def similar_groups(docs: DataFrame, words: int = WORDS, heavy_from: int = HEAVY_
     sets = kept(rows.filter("size > 0").groupBy("sid").agg(
         F.min("doc_id").alias("doc_id"), F.first("size").alias("size"),
         F.first("bits").alias("bits"), F.first("brief").alias("brief")), "distinct-sets")
-    lists = kept(postings(docs, words, heavy_keys(docs, words, heavy, heavy_from)), "postings")
-
-    leaders = lists.groupBy("token").agg(F.min_by(
-        F.struct("sid", "size", "pos"),
-        F.struct(F.col("pos") / F.col("size"), F.xxhash64("sid"), "sid")).alias("lead"))
-    stars = lists.join(leaders, "token").filter(
-        (F.col("sid") != F.col("lead.sid")) & _within_reach(
-            F.col("size"), F.col("lead.size"), F.col("pos"), F.col("lead.pos"))).select(
-        F.least("sid", "lead.sid").alias("x"), F.greatest("sid", "lead.sid").alias("y"))
-    first = linked(stars.distinct(), sets, docs, words)
-    rest = linked(_across_classes(lists, _classes(first), sets), sets, docs, words)
-    classes = _classes(first.unionByName(rest))
+    spark = docs.sparkSession
+
+    def links() -> DataFrame:
+        lists = kept(postings(docs, words, heavy_keys(docs, words, heavy, heavy_from)), "postings")
+        leaders = lists.groupBy("token").agg(F.min_by(
+            F.struct("sid", "size", "pos"),
+            F.struct(F.col("pos") / F.col("size"), F.xxhash64("sid"), "sid")).alias("lead"))
+        stars = lists.join(leaders, "token").filter(
+            (F.col("sid") != F.col("lead.sid")) & _within_reach(
+                F.col("size"), F.col("lead.size"), F.col("pos"), F.col("lead.pos"))).select(
+            F.least("sid", "lead.sid").alias("x"), F.greatest("sid", "lead.sid").alias("y"))
+        first = finished(spark, lambda: linked(stars.distinct(), sets, docs, words), "links")
+        pairs = finished(spark, lambda: _across_classes(lists, _classes(first), sets), "pairs")
+        rest = finished(spark, lambda: linked(pairs, sets, docs, words), "links")
+        return first.unionByName(rest)
+
+    classes = _classes(finished(spark, links, "all-links"))
 
     grouped = rows.select("doc_id", "sid", "size").join(classes, "sid", "left").withColumn(
         "class", F.coalesce("class", "sid"))
