@@ -1,7 +1,8 @@
 """Evaluation of scores as distributed aggregates.
 
 Scores are merged into distinct values first; cumulative counts run over even buckets of
-them (``functions.ordered.running_totals``), never over all rows in one task.
+them (``functions.ordered.running_totals``), never over all rows in one task. The table of distinct
+scores with running counts is written once, and all measures of a call read it.
 """
 
 from __future__ import annotations
@@ -9,33 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curbsight.functions import columns as C
+from curbsight.functions.lineage import cut
 from curbsight.functions.ordered import running_totals
 
 CURVE_POINTS = 100
 
 
 def cumulative_counts(scores: DataFrame) -> DataFrame:
-    """Per distinct score from high to low: pos, neg, tp, fp (score and above), idx from 1."""
-    grouped = scores.groupBy("score").agg(
+    """Per distinct score from high to low: pos, neg, tp, fp (score and above), idx from 1; written."""
+    grouped = cut(scores.groupBy("score").agg(
         C.tally(F.col("label") == 1).alias("pos"), C.tally(F.col("label") != 1).alias("neg")
-    ).withColumn("one", F.lit(1).cast("long"))
-    return running_totals(grouped, "score", ["pos", "neg", "one"]).select(
+    ).withColumn("one", F.lit(1).cast("long")))
+    return cut(running_totals(grouped, "score", ["pos", "neg", "one"]).select(
         "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-        F.col("cum_one").alias("idx"))
+        F.col("cum_one").alias("idx")))
 
 
-def _totals(scores: DataFrame) -> Column:
-    return scores.agg(F.struct(
-        C.tally(F.col("label") == 1).alias("p"), C.tally(F.col("label") != 1).alias("n"))).scalar()
+def _sum(values: Column) -> Column:
+    return F.coalesce(F.sum(values), F.lit(0).cast("long"))
+
+
+def _totals(points: DataFrame) -> Column:
+    return points.agg(F.struct(_sum(F.col("pos")).alias("p"), _sum(F.col("neg")).alias("n"))).scalar()
 
 
 def optimal_threshold(scores: DataFrame) -> DataFrame:
     """(threshold, f1): the score with the best F1, the lowest on ties; 0.5 if there is none."""
-    total = _totals(scores)
+    points = cumulative_counts(scores)
+    total = _totals(points)
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     recall = F.try_divide(F.col("tp").cast("double"), total["p"])
     f1 = precision * recall * 2 / (precision + recall + 1e-9)
-    best = cumulative_counts(scores).withColumn("f1", f1).agg(
+    best = points.withColumn("f1", f1).agg(
         F.max_by(F.struct("score", "f1"), F.struct("f1", (-F.col("score")).alias("s"))).alias("b"))
     return best.select(
         F.coalesce(F.when(F.col("b.f1").isNotNull(), F.col("b.score")), F.lit(0.5))
@@ -62,13 +68,13 @@ def clf_metrics(scores: DataFrame, threshold: float | Column = 0.5) -> DataFrame
     """accuracy, precision, recall, f1 at the threshold; ROC-AUC and average precision."""
     threshold = F.lit(threshold) if isinstance(threshold, float) else threshold
     hit = F.col("score") >= threshold
-    yes = F.col("label") == 1
-    at = scores.agg(
-        C.tally(hit & yes).alias("tp"), C.tally(hit & ~yes).alias("fp"),
-        C.tally(~hit & yes).alias("fn"), C.tally(~hit & ~yes).alias("tn"))
+    points = cumulative_counts(scores)
+    at = points.agg(
+        _sum(F.when(hit, F.col("pos"))).alias("tp"), _sum(F.when(hit, F.col("neg"))).alias("fp"),
+        _sum(F.when(~hit, F.col("pos"))).alias("fn"), _sum(F.when(~hit, F.col("neg"))).alias("tn"))
     precision = _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    area = cumulative_counts(scores).agg(F.struct(
+    area = points.agg(F.struct(
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)).alias("wins"),
         F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("gain"))).scalar()
     p, n = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
@@ -120,14 +126,15 @@ def _thinning(n: Column) -> Column:
 
 
 def _corner_points(points: DataFrame) -> DataFrame:
-    corners = _roc_corners(points).withColumn("kept", F.lit(1).cast("long"))
-    return running_totals(corners, "score", ["kept"])
+    corners = cut(_roc_corners(points).withColumn("kept", F.lit(1).cast("long")))
+    return cut(running_totals(corners, "score", ["kept"]))
 
 
 def roc_curve(scores: DataFrame) -> DataFrame:
     """(position, fpr, tpr), thinned to about 100 points; position 0 is the origin."""
-    total = _totals(scores)
-    kept = _corner_points(cumulative_counts(scores))
+    points = cumulative_counts(scores)
+    total = _totals(points)
+    kept = _corner_points(points)
     curve = kept.select(
         F.col("cum_kept").alias("position"), F.try_divide("fp", total["n"]).alias("fpr"),
         F.try_divide("tp", total["p"]).alias("tpr"))
@@ -142,8 +149,8 @@ def roc_curve(scores: DataFrame) -> DataFrame:
 def pr_curve(scores: DataFrame) -> DataFrame:
     """(position, precision, recall) from the lowest score up, ending at (1, 0); the thinning
     is that of the ROC curve."""
-    total = _totals(scores)
     points = cumulative_counts(scores)
+    total = _totals(points)
     step = _thinning(_corner_points(points).agg(F.count(F.lit(1)) + 1).scalar())
     m = points.agg(F.count(F.lit(1))).scalar()
     curve = points.select(
