@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out labels."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -122,6 +123,70 @@ def test_random_strings_are_told_from_words(spark):
     assert not any(found[i] for i in range(60, 120))
 
 
+def test_error_function_of_arrays():
+    z = np.linspace(-6, 20, 2001)
+    exact = np.array([math.erfc(x) for x in z])
+    assert (np.abs(secrets._erfc(z) - exact) <= 2e-7 * exact).all()
+
+
+def test_battery_is_even_on_random_strings_and_low_on_prose():
+    rng = np.random.default_rng(3)
+    for n, size in ((40, 16), (32, 62), (64, 64)):
+        p = np.exp(-secrets.battery(rng.integers(0, size, (4000, n)), size))
+        assert 0.02 < (p < 0.05).mean() < 0.09 and 0.4 < (p < 0.5).mean() < 0.6
+    words = np.array([[ord(c) - 97 for c in ("themereisnothinglikethesea" * 3)[i:i + 40]] for i in range(26)])
+    assert (np.exp(-secrets.battery(words, 26)) < 0.05).mean() > 0.9
+
+
+def test_planted_keys_are_found_and_false_reports_are_few(spark):
+    """Keys of six encodings among prose, compound words, paths, camel case and repeated digits."""
+    rng = np.random.default_rng(5)
+    syllables = ["the", "ing", "ver", "tion", "ment", "ber", "lo", "sa", "ne", "ri", "co", "und"]
+    word = lambda k: "".join(rng.choice(syllables, k))
+    draw = lambda name, n: "".join(rng.choice(list(secrets.ENCODINGS[name]), n))
+    keys = {}
+    texts = []
+    for i in range(300):
+        plain = " ".join([*(word(int(rng.integers(1, 6))) for _ in range(120)), word(4).title(), "SS" + word(4),
+                          f"{word(3)}-{word(4)}/{word(3)}", word(2) + word(3).title() + word(2).title(),
+                          "0" * 20 + "1", "2024-01-01-2024-01-01"])
+        key = ""
+        if i % 3 == 0:
+            key = draw(["base62", "HEX", "base36", "base32", "base64url"][i // 3 % 5], 48)
+        elif i % 3 == 1:
+            h = draw("HEX", 32)
+            key = "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+        keys[i] = (len(plain) + 1, len(plain) + 1 + len(key)) if key else None
+        texts.append((i, f"{plain} {key} {word(3)}"))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    hit = false = 0
+    for r in secrets.find(docs).collect():
+        at = keys[r.doc_id]
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")]
+        true = [s for s in spans if at and s[0] >= at[0] and s[1] <= at[1]]
+        hit += bool(true)
+        false += len(spans) - len(true)
+    assert hit >= 0.8 * sum(k is not None for k in keys.values())
+    assert false <= 0.1 * (hit + false)
+
+
+def test_values_of_known_shapes_are_judged(spark):
+    rng = np.random.default_rng(6)
+    prose = "a long walk along the river and back over the old bridge before night fell on the town "
+    rows = [(i, prose + "hash " + "".join(rng.choice(list("0123456789abcdef"), 40))) for i in range(40)]
+    rows += [(100 + i, prose + "hash " + "ab" * 20) for i in range(20)]
+    rows += [(200, prose + "password=secret1"), (201, None), (None, "")]
+    found = {r.doc_id: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(found[i].judged) == 1 and found[i].judged[0]["class"] == "hex/10" for i in range(40))
+    assert sum(found[i].judged[0].random for i in range(40)) >= 34
+    assert not any(found[100 + i].judged[0].random for i in range(20))
+    assert tuple(found[200].judged[0]) == (None, None, None)
+    assert found[201].judged == [] and found[None].judged == []
+    digests = {r.doc_id: r.judged for r in secrets.digests(secrets.find(
+        spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert digests[200] == "" and digests[0].startswith("hex/10:0.")
+
+
 def test_lines_equal_brute_force(docs, rows):
     sites, first = defaultdict(set), {}
     for r in rows:
