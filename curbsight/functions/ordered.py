@@ -83,5 +83,25 @@ def running_totals(df: DataFrame, by: str, sums: list[str], buckets: int = 128)
     )
 
 
+def row_numbers(df: DataFrame, keys: list[str], by: str, name: str, buckets: int = 128) -> DataFrame:
+    """Adds ``name``: the place of a row among its ``keys`` by ``by``, from 0.
+
+    Values of ``by`` are distinct per key. Approximate quantiles of all rows split them into even
+    ranges; rows are numbered within a range and get the number of rows in the ranges before, from
+    a table of at most ``buckets`` rows per key. ``df`` is read three times: pass a written table.
+    """
+    cuts = df.agg(F.percentile_approx(
+        by, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
+    split = df.withColumn("_cuts", cuts.scalar()).withColumn(
+        "_bucket", F.size(F.filter("_cuts", lambda b: b < F.col(by)))).drop("_cuts")
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    held = split.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_held")).select(
+        *keys, "_bucket", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(by)
+    return split.withColumn("_place", F.row_number().over(inside) - 1).join(
+        held, [*keys, "_bucket"]).withColumn(
+        name, (F.col("_before") + F.col("_place")).cast("long")).drop("_bucket", "_before", "_place")
+
+
 def column_or(df: DataFrame, name: str, default: Column) -> Column:
     return F.col(name) if name in df.columns else default

@@ -166,23 +166,24 @@ def length_class(n: int) -> int:
     return int(2 * math.log2(n))
 
 
-def decoys(data: np.ndarray, encoding: str, prose: list[np.ndarray], seeds: np.ndarray) -> np.ndarray:
+def decoys(data: np.ndarray, encoding: str, prose: np.ndarray, begin: np.ndarray,
+           length: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Per row of bytes one row of places: prose from the row's document in the shape of the row.
 
     Signs stay where they are. A row that changes between capitals, small letters and digits at
     most every ``HUMP`` characters, as words and joined words do, keeps its kinds in place; others
-    get as many of each kind in one piece. ``prose`` holds letters as 0 to 25.
+    get as many of each kind in one piece. ``prose`` holds the letters of all documents as 0 to
+    25, those of a row's document from ``begin``.
     """
-    m, n = data.shape
+    n = data.shape[1]
     family = _FAMILY[data]
     sign = family == 3
     grouped = np.take_along_axis(np.sort(family, 1), np.maximum(np.cumsum(~sign, 1) - 1, 0), 1)
     calm = (family[:, 1:] != family[:, :-1]).sum(1) * HUMP <= n
     grouped = np.where(calm[:, None], family, grouped)
     first, many = (np.array(x) for x in _PIECES[encoding])
-    letters = np.empty((m, n), dtype=np.int64)
-    for i, text in enumerate(prose):
-        letters[i] = np.take(text, np.arange(n) + int(seeds[i] % np.uint64(len(text))), mode="wrap")
+    start = (seeds % length.astype(np.uint64)).astype(np.int64)
+    letters = prose[begin[:, None] + (start[:, None] + np.arange(n)) % length[:, None]]
     return np.where(sign, _PLACES[encoding][data], first[grouped] + letters % many[grouped])
 
 
@@ -204,6 +205,10 @@ class _Tests:
         return test
 
     def answer(self, prose: dict[int, np.ndarray]) -> None:
+        letters = np.concatenate([np.zeros(0, dtype=np.int8), *prose.values()])
+        length = np.zeros(max(prose, default=0) + 1, dtype=np.int64)
+        length[list(prose)] = [len(p) for p in prose.values()]
+        begin = np.cumsum(length) - length
         for (encoding, n), asked in self.asked.items():
             size = len(ENCODINGS[encoding])
             rows = max(1, STEP // max(n, size))
@@ -213,12 +218,15 @@ class _Tests:
                                      dtype=np.uint8).reshape(len(part), n)
                 for (_, _, test), cell in zip(part, cells(_PLACES[encoding][data], size).tolist()):
                     test["bin"] = cell
-                able = [i for i, (_, doc, _) in enumerate(part) if len(prose[doc])]
-                texts = [prose[part[i][1]] for i in able]
+                own_doc = np.array([doc for _, doc, _ in part])
+                able = np.flatnonzero(length[own_doc])
+                if not len(able):
+                    continue
+                data, own_doc = data[able], own_doc[able]
                 # Places follow from the string and its rank in the document, not from the portion.
                 own = np.array([zlib.crc32(part[i][0].encode("ascii")) for i in able], dtype=np.uint64)
-                for j in range(DECOYS if able else 0):
-                    found = cells(decoys(data[able], encoding, texts,
+                for j in range(DECOYS):
+                    found = cells(decoys(data, encoding, letters, begin[own_doc], length[own_doc],
                                          mixed(own * np.uint64(DECOYS) + np.uint64(j))), size)
                     held = np.bincount(found)
                     for cell in np.flatnonzero(held).tolist():

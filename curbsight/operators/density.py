@@ -22,6 +22,7 @@ from curbsight import settings as S
 from curbsight.functions import columns as C
 from curbsight.functions.grid import Grid, box_high, box_low, nodes_of, term_of_metres
 from curbsight.functions.lineage import cut
+from curbsight.functions.ordered import row_numbers
 from curbsight.operators.components import components
 
 # Level 6 cells are some 4 cm wide; below them come the points themselves.
@@ -311,9 +312,7 @@ def density_clusters(df: DataFrame, layers: Column, eps: float = S.EPS_METERS,
     )
     rooted = components(vertices, edges, ["layer"])
     # Clusters count from 0 by their lowest core ordinal; the table has one row per cluster.
-    order = Window.partitionBy("layer").orderBy("root")
-    numbers = rooted.select("layer", "root").distinct().withColumn(
-        "cluster", (F.row_number().over(order) - 1).cast("long"))
+    numbers = row_numbers(cut(rooted.select("layer", "root").distinct()), ["layer"], "root", "cluster")
     clustered = cut(rooted.join(numbers, ["layer", "root"]).select("layer", "v", "cluster"))
 
     dense_labels = dense.select(*cell, F.col("rep.ord").alias("v")).join(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from curbsight import settings as S
 from curbsight.functions import columns as C
+from curbsight.functions.lookups import join_by_key
 from curbsight.functions.ordered import column_or, quantiles, value_counts
 
 # 1.6 s buckets split the 720 h range into as many buckets as a bucket has microseconds.
@@ -107,8 +108,8 @@ def risk_score(df: DataFrame) -> DataFrame:
 def corridor_load(df: DataFrame) -> DataFrame:
     """Incidents per corridor, and the share of the busiest one, on every row.
 
-    Counting first and joining the counts back keeps a hot corridor out of a single window
-    task: the count is partial per task, and the small side of the join is sized at run time.
+    The counts are partial per task and written; they also tell which corridors are hot, and
+    the join splits those.
     """
     if "corridor" not in df.columns:
         return df
@@ -117,13 +118,13 @@ def corridor_load(df: DataFrame) -> DataFrame:
     busiest = loads.agg(F.max("corridor_event_load")).scalar()
     loads = loads.withColumn(
         "corridor_load_norm", C.half_even(F.try_divide("corridor_event_load", busiest), 4))
-    return df.join(loads, "corridor", "left")
+    return join_by_key(df, loads, "corridor", "corridor_event_load", F.col("id"))
 
 
 def cell_repeat_count(df: DataFrame) -> DataFrame:
     """Incidents per 0.001 degree cell on every row."""
     cells = df.groupBy("geo_cell").agg(F.count("id").alias("cell_repeat_count"))
-    return df.join(cells, "geo_cell", "left")
+    return join_by_key(df, cells, "geo_cell", "cell_repeat_count", F.col("id"))
 
 
 def row_features(df: DataFrame) -> DataFrame:
