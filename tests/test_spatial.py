@@ -84,6 +84,23 @@ def test_nearest_label_equals_slow_version(spark, monkeypatch, small_cell):
         assert (out.loc[have.ordinal, field].to_numpy() == have[field].to_numpy()).all()
 
 
+def test_only_places_without_a_label_are_searched_and_few_cells_asked(spark, monkeypatch):
+    rows = [(i, 12.8 + i % 40 / 500, 77.5 + i // 40 / 500, f"Z{i % 7}") for i in range(1, 400)]
+    rows += [(1001, *rows[5][1:3], None), (1002, 12.8501, 77.5003, None), (1003, 13.2, 77.9, None)]
+    df = spark.createDataFrame(rows, "ordinal long, latitude double, longitude double, zone string")
+    places, levels = [], []
+    first, reps = spatial_fill._first_bound, spatial_fill._own_reps
+    monkeypatch.setattr(spatial_fill, "_first_bound", lambda p, *rest: places.append(p.count()) or first(p, *rest))
+    monkeypatch.setattr(spatial_fill, "_own_reps", lambda p, n, v: levels.append(len(v)) or reps(p, n, v))
+    out = {r.ordinal: r.zone for r in spatial_fill.fill_from_nearest(df, ["zone"]).collect()}
+    assert places == [2] and levels[0] == 2
+    monkeypatch.setattr(spatial_fill, "FEW_CELLS", 0)
+    assert out == {r.ordinal: r.zone for r in spatial_fill.fill_from_nearest(df, ["zone"]).collect()}
+    for n, lat, lon, _ in rows[-3:]:
+        near = min(rows[:-3], key=lambda r: (term(lat, lon, r[1], r[2]), r[0]))
+        assert out[n] == near[3]
+
+
 def test_fill_without_labels_or_places(spark):
     rows = [(1, 12.9, 77.6, None), (2, None, None, None)]
     df = spark.createDataFrame(rows, "ordinal long, latitude double, longitude double, zone string")
