@@ -69,6 +69,19 @@ def test_density_clusters_equal_slow_version(spark, monkeypatch, seed, small_pai
         assert (got.is_core == pd.Series(core, index=rows.ordinal).sort_index()).all()
 
 
+def test_cells_that_are_connected_already_are_not_compared(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, 12.9 + y, 77.6 + x) for i, (y, x) in enumerate(rng.uniform(0, 0.008, (3000, 2)).tolist())]
+    df = spark.createDataFrame(rows, "ordinal long, latitude double, longitude double")
+    asked, listed = [], density._list_pairs
+    monkeypatch.setattr(density, "_list_pairs", lambda pairs, *rest: asked.append(
+        pairs.filter("need = 1").count()) or listed(pairs, *rest))
+    layers = F.array(F.lit("all"))
+    out = density.density_clusters(df, layers).label(df, layers)
+    assert asked == [0]
+    assert out.select("cluster").distinct().collect() == [(0,)]
+
+
 @pytest.mark.parametrize("small_cell", [spatial_fill.SMALL_CELL, 1])
 def test_nearest_label_equals_slow_version(spark, monkeypatch, small_cell):
     monkeypatch.setattr(spatial_fill, "SMALL_CELL", small_cell)
