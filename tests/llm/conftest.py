@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import types as T
 
+# As in the conftest above, whose name this module takes in a run of the whole suite.
+SF = "/root/testdata/sf0.001"
 ROWS = [
     (10_001, None, "src1"), (10_002, "", "src1"), (10_003, " \n\t ", None), (None, "a row without an id", "src2"),
     (10_004, "one two three", None), (10_005, "one two three", "src9"), (10_005, "one two three", "src9"),
