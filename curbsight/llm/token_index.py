@@ -33,6 +33,8 @@ KEYS_PER_PART = 50_000
 SLACK = 1.6
 LEVELS = 64
 READ_BYTES = 4 << 20
+# Texts that are encoded together: each word they share is looked up once.
+TEXT_BYTES = 8 << 20
 
 _STORED = pa.schema([("key", pa.int64()), ("shard", pa.int32()), ("ordinal", pa.int64()),
                      ("n", pa.int64())])
@@ -78,7 +80,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, shards: int) -> DataFr
         draft = f"{where}/.shard-{shard:06d}-{uuid.uuid4().hex}"
         ends, tokens = [0], 0
         with store.open_output_stream(draft) as out:
-            for part in portions(batches, "text"):
+            for part in portions(batches, "text", TEXT_BYTES):
                 sizes, chunk = [], []
                 for ids in encode([t or "" for t in part["text"]]):
                     chunk.append(ids.astype(f"<u{width}").tobytes())

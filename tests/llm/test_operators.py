@@ -426,6 +426,23 @@ def test_word_ids_equal_the_tokenizer():
     assert [[*g.tolist(), 1] for g in got] == [encode(t) for t in texts]
 
 
+def test_word_ids_of_any_usual_text_and_words_taken_apart_once(monkeypatch):
+    import random
+
+    path = tokens.vocabulary("word_bpe_49k.json")
+    slow, draw = slow_ids("word_bpe_49k.json"), random.Random(7)
+    signs = [chr(c) for c in range(0x20, 0x180)] + list("\t\n\r ''''srtvemdl") * 8
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 60))) for _ in range(2_000)]
+    texts += ["", " ", "İ ŉ ªº²½", "日本 text", "<|endoftext|> a"]
+    enc, seen = tokens.WordEncoder(path), []
+    assert [[*ids.tolist(), 1] for ids in enc.encode(texts)] == [slow(t) for t in texts]
+    assert enc.encode([]) == [] and [len(x) for x in enc.encode(["", "\n"])] == [0, 0]
+    taken = tokens.WordEncoder._words
+    monkeypatch.setattr(tokens.WordEncoder, "_words", lambda self, w: (seen.extend(w), taken(self, w))[1])
+    enc.encode(["a b a", "b c c"])
+    assert sorted(seen) == ["a", "b", "c"]
+
+
 def test_token_index_with_null_and_repeated_ids(spark, docs, rows, tmp_path):
     found = token_index.digests(token_index.stored_documents(
         spark, docs, str(tmp_path / "index"))).collect()
