@@ -36,6 +36,8 @@ KEY_BITS = 36
 HEAVY_FROM = 64
 # At most so many of the most frequent shingles go last; 8 bytes each go to every task.
 HEAVY_KEYS = 200_000
+# Texts whose shingles a task makes at a time; the words and hashes of a text take many times its size.
+TEXT_BYTES = 1 << 20
 COUNT_FLUSH = 4_000_000
 # Ids of sets to verify are broadcast up to this number, and joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
@@ -126,7 +128,7 @@ def prefix_length(size: int) -> int:
 def described(docs: DataFrame, words: int) -> DataFrame:
     """One row per document: id, set id, size and parity maps."""
     def run(batches):
-        for part in portions(batches, "text"):
+        for part in portions(batches, "text", TEXT_BYTES):
             sets = shingle_sets([t or "" for t in part["text"]], words)
             yield record_batch(_SETS, {
                 "doc_id": part["doc_id"], "sid": [set_id(s) for s in sets],
@@ -163,7 +165,7 @@ def heavy_keys(docs: DataFrame, words: int, keys: int, least: int) -> np.ndarray
 
     def emit(batches):
         held, n = [], 0
-        for part in portions(batches, "text"):
+        for part in portions(batches, "text", TEXT_BYTES):
             for s in shingle_sets([t or "" for t in part["text"]], words):
                 held.append(s)
                 n += len(s)
@@ -210,7 +212,7 @@ def postings(docs: DataFrame, words: int, heavy: np.ndarray) -> DataFrame:
 
     def emit(batches):
         seen = set()
-        for part in portions(batches, "text"):
+        for part in portions(batches, "text", TEXT_BYTES):
             out = {f.name: [] for f in _POSTS}
             tokens, salts, sizes, places = [], [], [], []
             for s in shingle_sets([t or "" for t in part["text"]], words):
@@ -301,7 +303,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> Da
         ids = F.broadcast(ids)
 
     def whole(batches):
-        for part in portions(batches, "text"):
+        for part in portions(batches, "text", TEXT_BYTES):
             held = {set_id(s): s.tobytes() for s in shingle_sets(part["text"], words) if len(s)}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.binary())],

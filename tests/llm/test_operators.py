@@ -443,6 +443,25 @@ def test_word_ids_of_any_usual_text_and_words_taken_apart_once(monkeypatch):
     assert sorted(seen) == ["a", "b", "c"]
 
 
+def test_tasks_take_few_texts_at_a_time_and_give_arrow_memory_back(spark, monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    from curbsight.llm import common
+
+    given = []
+    caught = SimpleNamespace(sparkSession=spark, mapInArrow=lambda fn, schema: fn)
+    pool = SimpleNamespace(release_unused=lambda: given.append(True))
+    texts = pa.record_batch({"doc_id": list(range(8)), "text": ["a b c d e f g " * 40_000] * 8})
+    run = common.in_tasks(caught, lambda batches: batches, "x long")
+    with monkeypatch.context() as m:
+        m.setattr(common.pa, "default_memory_pool", lambda: pool)
+        assert list(run(iter([texts]))) == [texts] and given == [True]
+    monkeypatch.setattr(jaccard, "in_tasks", lambda df, fn, schema: fn)
+    made = list(jaccard.described(None, 5)(iter([texts])))
+    assert sum(b.num_rows for b in made) == 8 and max(b.num_rows for b in made) <= 1 + jaccard.TEXT_BYTES // 560_000
+
+
 def test_token_index_with_null_and_repeated_ids(spark, docs, rows, tmp_path):
     found = token_index.digests(token_index.stored_documents(
         spark, docs, str(tmp_path / "index"))).collect()
