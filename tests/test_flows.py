@@ -1,6 +1,8 @@
 """Files, models, streams, the batch job, and the SQL statements at the smallest scale."""
 
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -270,6 +272,22 @@ def test_model_store_trains_once(spark, sf, tmp_path, monkeypatch):
         p for p in os.listdir(tmp_path / "trained") if p.startswith("closure-"))
 
 
+def test_fits_of_large_tables_get_more_tasks_and_wait_for_each_other(spark):
+    assert [train.partitions_for(n) for n in (0, 1_000, 600_000, 6_000_000)] == [2, 2, 6, 18]
+    assert train.few_partitions(spark.range(0, 200_000, 1, 8)).rdd.getNumPartitions() == 4
+    all_four, running, most = threading.Barrier(4), [], []
+
+    def alone():
+        running.append(1)
+        most.append(len(running))
+        time.sleep(0.1)
+        running.pop()
+
+    assert sorted(train.side_by_side([lambda: all_four.wait(20)] * 4, 1_000)) == [0, 1, 2, 3]
+    train.side_by_side([alone] * 4, 5_000_000)
+    assert most == [1, 1, 1, 1]
+
+
 def test_folds_hold_every_class_within_one_row(spark, sf):
     table = prepare.label_table(catalog.features_of(spark, sf), "closure")
     counts = prepare.folds(table.repartition(5), 5, task="closure").groupBy("label", "fold").count().collect()
