@@ -16,6 +16,7 @@ copies squared.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -49,11 +50,12 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _rolling: dict[str, Rolling] = {}
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("sid", pa.binary()), ("size", pa.int32()),
+_SETS = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("check", pa.int64()), ("size", pa.int32()),
                    ("bits", pa.binary()), ("brief", pa.list_(pa.int64()))])
 _COUNTS = pa.schema([("part", pa.int32()), ("keys", pa.binary())])
-_POSTS = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("sid", pa.binary()),
-                    ("size", pa.int32()), ("pos", pa.int32())])
+# A posting on its way: position and size in one word, inverted for frequent tokens.
+_POSTS = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("place", pa.int64())])
+_MEMBERS = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
@@ -88,8 +90,10 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def set_id(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def set_id(tokens: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """The id of a set and a second word; sets that agree in both are the same."""
+    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16, salt=salt.to_bytes(4, "little")).digest()
+    return tuple(np.frombuffer(digest, "<i8").tolist())
 
 
 def parity_map(tokens: np.ndarray) -> bytes:
@@ -125,19 +129,36 @@ def prefix_length(size: int) -> int:
     return size - -(-SHARED * size // OF) + 1
 
 
-def described(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document: id, set id, size and parity maps."""
+def described(docs: DataFrame, words: int, salt: int = 0) -> DataFrame:
+    """One row per document: id, set id with its second word, size and parity maps."""
     def run(batches):
         for part in portions(batches, "text", TEXT_BYTES):
             sets = shingle_sets([t or "" for t in part["text"]], words)
+            ids = [set_id(s, salt) for s in sets]
             yield record_batch(_SETS, {
-                "doc_id": part["doc_id"], "sid": [set_id(s) for s in sets],
+                "doc_id": part["doc_id"], "sid": [i for i, _ in ids], "check": [c for _, c in ids],
                 "size": [len(s) for s in sets],
                 "bits": [parity_map(s) if len(s) else b"" for s in sets],
                 "brief": [brief_map(s) for s in sets]})
 
     return in_tasks(docs, run,
-                    "doc_id long, sid binary, size int, bits binary, brief array<bigint>")
+                    "doc_id long, sid long, check long, size int, bits binary, brief array<bigint>")
+
+
+def distinct_sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, int]:
+    """The described documents, their distinct sets that are not empty, and the salt of their ids.
+
+    Ids are 8 bytes, for they go with every shingle. No two sets share one: if any do, all sets get
+    ids of another salt.
+    """
+    for salt in itertools.count():
+        rows = kept(described(docs, words, salt), "sets")
+        sets = kept(rows.filter("size > 0").groupBy("sid").agg(
+            F.min("doc_id").alias("doc_id"), F.first("size").alias("size"),
+            F.first("bits").alias("bits"), F.first("brief").alias("brief"),
+            (F.min("check") == F.max("check")).alias("alone")), "distinct-sets")
+        if sets.filter("not alone").isEmpty():
+            return rows.drop("check"), sets.drop("alone"), salt
 
 
 def heavy_keys(docs: DataFrame, words: int, keys: int, least: int) -> np.ndarray:
@@ -201,11 +222,11 @@ def heavy_keys(docs: DataFrame, words: int, keys: int, least: int) -> np.ndarray
     return np.sort(np.array([r["key"] for r in rows], dtype=np.uint64))
 
 
-def postings(docs: DataFrame, words: int, heavy: np.ndarray) -> DataFrame:
+def postings(docs: DataFrame, words: int, heavy: np.ndarray, salt: int = 0) -> DataFrame:
     """(token, sid, size, pos) of prefix tokens that two or more different sets have.
 
     A task sends a set once, however many copies it sees. Frequent tokens are known to be shared,
-    so their rows are salted; all other lists are shorter than the bound that ``heavy`` keeps.
+    so their rows are dealt by set too; all other lists are shorter than the bound that ``heavy`` keeps.
     """
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shift = np.uint64(64 - KEY_BITS)
@@ -213,10 +234,9 @@ def postings(docs: DataFrame, words: int, heavy: np.ndarray) -> DataFrame:
     def emit(batches):
         seen = set()
         for part in portions(batches, "text", TEXT_BYTES):
-            out = {f.name: [] for f in _POSTS}
-            tokens, salts, sizes, places = [], [], [], []
+            tokens, sids, places = [], [], []
             for s in shingle_sets([t or "" for t in part["text"]], words):
-                sid = set_id(s) if len(s) else None
+                sid = set_id(s, salt)[0] if len(s) else None
                 if sid is None or sid in seen:
                     continue
                 seen.add(sid)
@@ -228,19 +248,15 @@ def postings(docs: DataFrame, words: int, heavy: np.ndarray) -> DataFrame:
                     rare = min(n, int((~often).sum()))
                 else:
                     chosen, rare = s[:n], n
-                salt = np.zeros(n, dtype=np.int32)
-                salt[rare:] = 1 + sid[0] % 64
+                place = np.arange(n, dtype=np.int64) << 32 | len(s)
+                place[rare:] = ~place[rare:]
                 tokens.append(chosen)
-                salts.append(salt)
-                sizes.append(np.full(n, len(s), dtype=np.int32))
-                places.append(np.arange(n, dtype=np.int32))
-                out["sid"] += [sid] * n
+                sids.append(np.full(n, sid, dtype=np.int64))
+                places.append(place)
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)),
-                     pa.array(np.concatenate(salts)), pa.array(out["sid"], pa.binary()),
-                     pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
-                    schema=_POSTS)
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids)),
+                     pa.array(np.concatenate(places))], schema=_POSTS)
 
     def shared(batches):
         """Rows come sorted by token and set; holds back one row."""
@@ -250,28 +266,31 @@ def postings(docs: DataFrame, words: int, heavy: np.ndarray) -> DataFrame:
                 continue
             rows = batch if before is None else pa.Table.from_batches(
                 [before[2], batch]).combine_chunks().to_batches()[0]
-            token = rows.column(0).to_numpy()
-            sid = np.array(rows.column(2).to_pylist(), dtype=object)
-            salted = rows.column(1).to_numpy() > 0
+            token, sid, place = (rows.column(i).to_numpy() for i in range(3))
+            often = place < 0
             fresh = np.ones(len(token), dtype=bool)
             fresh[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
             own = np.flatnonzero(fresh)
             t = token[own]
-            meets = salted[own]
+            meets = often[own]
             meets[1:] |= t[1:] == t[:-1]
             meets[:-1] |= t[1:] == t[:-1]
             send = meets.copy()
             if before is not None:
                 meets[0] |= before[3]
                 send[0] &= not before[3]
-            yield rows.take(pa.array(own[send]))
+            out = own[send]
+            whole = np.where(often[out], ~place[out], place[out])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token[out]), pa.array(sid[out]),
+                 pa.array((whole & 0xFFFFFFFF).astype(np.int32)), pa.array((whole >> 32).astype(np.int32))],
+                schema=_MEMBERS)
             before = (None, None, rows.slice(int(own[-1]), 1), bool(meets[-1]))
 
-    rows = in_tasks(docs.select("text"), emit,
-                    "token long, salt int, sid binary, size int, pos int")
-    dealt = rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "sid")
-    return in_tasks(dealt, shared, "token long, salt int, sid binary, size int, pos int").select(
-        "token", "sid", "size", "pos")
+    rows = in_tasks(docs.select("text"), emit, "token long, sid long, place long")
+    dealt = rows.repartition(parts, "token", F.when(F.col("place") < 0, F.pmod("sid", F.lit(64)))) \
+        .sortWithinPartitions("token", "sid")
+    return in_tasks(dealt, shared, "token long, sid long, size int, pos int")
 
 
 def _within_reach(size_a: Column, size_b: Column, pos_a: Column, pos_b: Column) -> Column:
@@ -281,7 +300,7 @@ def _within_reach(size_a: Column, size_b: Column, pos_a: Column, pos_b: Column)
         F.least(size_a - pos_a, size_b - pos_b) + F.least(pos_a, pos_b) >= least)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, salt: int = 0) -> DataFrame:
     """The pairs (x, y) of set ids that reach the similarity, verified on the sets themselves."""
     maps = [sets.select(F.col("sid").alias(c), F.col("size").alias(f"size_{c}"),
                         F.col("bits").alias(f"bits_{c}")) for c in ("x", "y")]
@@ -294,7 +313,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> Da
             yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
 
     near = kept(in_tasks(pairs.join(maps[0], "x").join(maps[1], "y").select(
-        "x", "y", "size_x", "size_y", "bits_x", "bits_y"), close, "x binary, y binary"), "near")
+        "x", "y", "size_x", "size_y", "bits_x", "bits_y"), close, "x long, y long"), "near")
     ids = near.select(F.explode(F.array("x", "y")).alias("sid")).distinct().join(
         sets.select("sid", "doc_id"), "sid").select(F.coalesce(
             "doc_id", F.lit(LOWEST)).alias("_id")).distinct()
@@ -304,14 +323,14 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> Da
 
     def whole(batches):
         for part in portions(batches, "text", TEXT_BYTES):
-            held = {set_id(s): s.tobytes() for s in shingle_sets(part["text"], words) if len(s)}
+            held = {set_id(s, salt)[0]: s.tobytes() for s in shingle_sets(part["text"], words) if len(s)}
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.binary())],
+                [pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.binary())],
                 ["sid", "tokens"])
 
     texts = docs.filter("text is not null").select(
         F.coalesce("doc_id", F.lit(LOWEST)).alias("_id"), "text").join(ids, "_id", "left_semi")
-    held = kept(in_tasks(texts.select("text"), whole, "sid binary, tokens binary").groupBy(
+    held = kept(in_tasks(texts.select("text"), whole, "sid long, tokens binary").groupBy(
         "sid").agg(F.first("tokens").alias("tokens")), "sets")
 
     def similar(batches):
@@ -326,7 +345,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> Da
     x = held.select(F.col("sid").alias("x"), F.col("tokens").alias("tokens_x"))
     y = held.select(F.col("sid").alias("y"), F.col("tokens").alias("tokens_y"))
     return kept(in_tasks(near.join(x, "x").join(y, "y").select(
-        "x", "y", "tokens_x", "tokens_y"), similar, "x binary, y binary"), "links")
+        "x", "y", "tokens_x", "tokens_y"), similar, "x long, y long"), "links")
 
 
 def _classes(links: DataFrame) -> DataFrame:
@@ -381,11 +400,8 @@ def similar_groups(docs: DataFrame, words: int = WORDS, heavy_from: int = HEAVY_
     ids alone has id null. Repeated rows come out as often as they came in.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = kept(described(docs, words), "sets")
-    sets = kept(rows.filter("size > 0").groupBy("sid").agg(
-        F.min("doc_id").alias("doc_id"), F.first("size").alias("size"),
-        F.first("bits").alias("bits"), F.first("brief").alias("brief")), "distinct-sets")
-    lists = kept(postings(docs, words, heavy_keys(docs, words, heavy, heavy_from)), "postings")
+    rows, sets, salt = distinct_sets(docs, words)
+    lists = kept(postings(docs, words, heavy_keys(docs, words, heavy, heavy_from), salt), "postings")
 
     leaders = lists.groupBy("token").agg(F.min_by(
         F.struct("sid", "size", "pos"),
@@ -394,8 +410,8 @@ def similar_groups(docs: DataFrame, words: int = WORDS, heavy_from: int = HEAVY_
         (F.col("sid") != F.col("lead.sid")) & _within_reach(
             F.col("size"), F.col("lead.size"), F.col("pos"), F.col("lead.pos"))).select(
         F.least("sid", "lead.sid").alias("x"), F.greatest("sid", "lead.sid").alias("y"))
-    first = linked(stars.distinct(), sets, docs, words)
-    rest = linked(_across_classes(lists, _classes(first), sets), sets, docs, words)
+    first = linked(stars.distinct(), sets, docs, words, salt)
+    rest = linked(_across_classes(lists, _classes(first), sets), sets, docs, words, salt)
     classes = _classes(first.unionByName(rest))
 
     grouped = rows.select("doc_id", "sid", "size").join(classes, "sid", "left").withColumn(

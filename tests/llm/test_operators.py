@@ -346,6 +346,24 @@ def test_jaccard_equals_all_pairs(docs, rows):
     assert {r._id for r in kept} == {"own"}
 
 
+def test_jaccard_sets_of_one_id_get_others(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    texts = [words, words[:57], ["x"] + words[1:], words[30:] + words[:30], words[:20], ["y"] * 9, ["y"] * 8, [], None]
+    table = spark.createDataFrame([(i, t if t is None else " ".join(t)) for i, t in enumerate(texts)],
+                                  "doc_id long, text string")
+    expected = sorted(jaccard.similar_groups(table).collect())
+    assert [r.component_id for r in expected] == [0, 0, 0, 0, 4, 5, 5, 7, 8]
+    assert dict(jaccard.postings(table, 5, np.empty(0, np.uint64)).dtypes)["sid"] == "bigint"
+    plain, salts = jaccard.described, []
+
+    def crowded(docs, words, salt=0):
+        salts.append(salt)
+        return plain(docs, words, salt).withColumn("sid", F.col("sid") % 3 if salt < 2 else F.col("sid"))
+
+    monkeypatch.setattr(jaccard, "described", crowded)
+    assert sorted(jaccard.similar_groups(table).collect()) == expected and salts == [0, 1, 2]
+
+
 def test_vectors_equal_all_pairs(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     width = len(table.first().embedding)
