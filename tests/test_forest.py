@@ -1,4 +1,4 @@
-"""Forests of large tables: grown in tasks, and scored tree by tree."""
+"""Forests of large tables: grown in tasks, scored tree by tree, and folds that are prepared once."""
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -106,3 +106,13 @@ def test_large_tables_grow_whole_trees(spark, sf, monkeypatch):
     monkeypatch.setattr(forest, "fit", lambda *a: fits.append(1) or own(*a))
     run = train.train_task(catalog.features_of(spark, sf), "closure", forest={"numTrees": 4, "maxDepth": 3})
     assert len(fits) == 4 and 0 < run["threshold"] < 1 and run["held_out"].count() == run["n_test"]
+
+
+def test_folds_are_prepared_once_for_all_families(spark, sf, monkeypatch):
+    fits, own = [], train.ImportanceSelector._fit
+    monkeypatch.setattr(train.ImportanceSelector, "_fit", lambda self, d: fits.append(1) or own(self, d))
+    table, _ = _tables(spark, sf, "closure")
+    small = {"numTrees": 3, "maxDepth": 2}
+    scores = train.cv_scores(table, "closure", {"random_forest": small, "boosting": {"maxIter": 2, "maxDepth": 2}},
+                             k=2, selector=small)
+    assert len(fits) == 2 and list(scores) == ["random_forest", "boosting"] and all(0 < s <= 1 for s in scores.values())
